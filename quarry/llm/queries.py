@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import pack, repeated_lines, split_long, tokenize_bpe
+from quarry.llm import near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
 from quarry.llm.base import table
 
 LIMIT, OVERLAP, CAPACITY, REPEATS = 1500, 100, 1500, 10
@@ -28,6 +28,14 @@ def p3_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.containers(p3_packed(spark, d))
 
 
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nn_forest.nearest(table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nn_forest.pairs(p4_nearest(spark, d))
+
+
 def _line_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", F.col("filing_stem").alias("source"), F.col("chunk_index").alias("position"), "text", "ingested_at")
 
@@ -56,6 +64,16 @@ def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.newly_crossed(before, after, REPEATS).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text"), 0.7, 3, 25)
+    return near_dupes.row_pairs(links, members)
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by five words and a similarity of 0.8."""
+    return near_dupes.groups(*near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,3 +83,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
