@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
+from quarry.llm import mojibake, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
 from quarry.llm.base import table
 
 LIMIT, OVERLAP, CAPACITY, REPEATS = 1500, 100, 1500, 10
@@ -81,6 +81,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_bpe.encode(table(spark, d, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    judged, _ = mojibake.judge(table(spark, d, "documents"))
+    return judged.select(F.col("id").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mojibake.restored(docs, *mojibake.judge(docs))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
