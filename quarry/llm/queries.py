@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mojibake, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
+from quarry.llm import answer_defects, eval_leaks, mojibake, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
 from quarry.llm.base import table
 
 LIMIT, OVERLAP, CAPACITY, REPEATS = 1500, 100, 1500, 10
@@ -74,6 +74,10 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dupes.groups(*near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.defects(table(spark, d, "ask_responses"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_bpe.encode(table(spark, d, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    held_out = table(spark, d, "questions").where(F.lower(F.trim("split")) == "test")
+    return eval_leaks.leaks(table(spark, d, "documents"), held_out)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     judged, _ = mojibake.judge(table(spark, d, "documents"))
     return judged.select(F.col("id").alias("doc_id"))
