@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import answer_defects, eval_leaks, mojibake, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
+from quarry.llm import answer_defects, eval_leaks, mojibake, name_variants, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
 from quarry.llm.base import table
 
 LIMIT, OVERLAP, CAPACITY, REPEATS = 1500, 100, 1500, 10
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_no = 0").select("item_kind", "item_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    names = name_variants.reference(table(spark, d, "companies"), "company_cik", "company_symbol", "company_name", "aliases")
+    return name_variants.named(table(spark, d, "ask_requests"), names)
+
+
 def p3_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "atoms"), CAPACITY)
 
