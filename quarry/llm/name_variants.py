@@ -31,7 +31,7 @@ LEGAL = {"inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "
 #: Short words that are never a part of a name (fixed values).
 PLAIN = {"in", "of", "at", "for", "is", "did", "a", "an", "on", "to", "by", "from", "what", "which", "how", "im", "de", "en", "les", "des", "von", "was", "were", "with", "does"}
 #: Abbreviations that share too few letters with their word (fixed values).
-SHORTHAND = {"tx": "therapeutics", "rx": "therapeutics", "mfg": "manufacturing", "bldrs": "builders", "pmt": "payment", "pymt": "payment", "xmission": "transmission", "tech": "technologies"}
+SHORTHAND = {"tx": "therapeutics", "rx": "therapeutics", "mfg": "manufacturing", "bldrs": "builders", "pmt": "payment", "pymt": "payment", "xmission": "transmission", "tech": "technologies", "ins": "insurance", "sw": "software", "log": "logistics"}
 #: Largest edit distance of a leading word, and shortest beginning of one that counts as a name.
 RADIUS, BEGINNING = 2, 5
 #: Reference names sent to every executor at most; a larger list must be linked in parts.
@@ -100,7 +100,7 @@ def likeness(typed: str, word: str) -> float:
         return 0.9
     if len(word) >= 4 and abs(len(typed) - len(word)) <= 2:
         d = int(levenshtein(*coded([typed[:LONGEST]]), word)[0])
-        if d <= (2 if len(word) >= 7 else 1):
+        if d <= (2 if len(word) >= 7 or sorted(typed) == sorted(word) else 1):
             return 0.95 - 0.1 * d
     if 2 <= len(typed) < len(word) and typed[0] == word[0]:
         rest = iter(word)
