@@ -124,8 +124,8 @@ def table_text(rows: Column) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """struct(value, status) of the answer line: ok, refused, no_number, no_answer_line or empty."""
-    line = F.regexp_extract(text, r"(?im)ANSWER\s*:\s*(.+?)\s*$", 1)
-    has_line = text.rlike(r"(?im)ANSWER\s*:\s*(.+?)\s*$")
+    line = F.regexp_extract(text, r"(?imdU)ANSWER\s*:\s*(.+?)\s*$", 1)
+    has_line = text.rlike(r"(?imdU)ANSWER\s*:\s*(.+?)\s*$")
     number = F.regexp_extract(line, r"-?\$?\d[\d,]*(?:\.\d+)?%?", 0)
     value = F.regexp_replace(number, "[,$%]", "").try_cast("double")
     word = F.regexp_replace(F.split_part(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), F.lit(" "), F.lit(1)), r"^[.,;:]+|[.,;:]+$", "")
@@ -179,4 +179,4 @@ def mentions_value(text: Column, value: Column) -> Column:
 
 def label_row_key(*fields: Column) -> Column:
     """First 12 hexadecimal digits of the hash of the fields that a label reads."""
-    return F.left(F.sha2(F.to_json(F.array(*(f.cast("string") for f in fields))), 256), 12)
+    return F.left(F.sha2(F.to_json(F.array(*(f.cast("string") for f in fields))), 256), F.lit(12))

@@ -1,21 +1,19 @@
-"""Schemas of the data model and the keys derived from it."""
+"""Schemas of the data model, as DDL, and the keys derived from it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-CHUNKS = T.StructType.fromDDL("filing_stem STRING NOT NULL, chunk_index INT NOT NULL, heading STRING, n_tokens INT, text STRING NOT NULL, embedding ARRAY<FLOAT>, variant STRING NOT NULL")
-CHUNK_FILE = T.StructType.fromDDL("text STRING, n_tokens INT, heading STRING")
-BLOCKS = T.StructType.fromDDL("text STRING, is_title BOOLEAN, rows ARRAY<ARRAY<STRING>>")
-QUESTIONS = T.StructType.fromDDL("id STRING, question STRING, context STRING, context_id STRING, split STRING, company_name STRING, company_symbol STRING, company_cik BIGINT, report_year INT, subset_source STRING")
-SCORES = T.StructType.fromDDL("id STRING, split STRING, cells MAP<STRING, ARRAY<ARRAY<STRING>>>")
-INGEST_LOG = T.StructType.fromDDL("stem STRING, cik BIGINT, year INT, status STRING, raw_bytes BIGINT, fetch_s DOUBLE, parse_s DOUBLE, chunk_s DOUBLE, n_blocks INT, n_tables INT, n_chunks INT, median_tokens INT, max_tokens INT, error STRING, traceback STRING")
-SUBMISSIONS = T.StructType.fromDDL(
-    "filings STRUCT<recent: STRUCT<form: ARRAY<STRING>, filingDate: ARRAY<STRING>, accessionNumber: ARRAY<STRING>, primaryDocument: ARRAY<STRING>, reportDate: ARRAY<STRING>>, files: ARRAY<STRUCT<name: STRING>>>"
-)
-EVIDENCE = T.StructType.fromDDL("table_rows ARRAY<ARRAY<STRING>>, sentences ARRAY<STRING>")
+
+CHUNKS = "filing_stem STRING NOT NULL, chunk_index INT NOT NULL, heading STRING, n_tokens INT, text STRING NOT NULL, embedding ARRAY<FLOAT>, variant STRING NOT NULL"
+CHUNK_FILE = "text STRING, n_tokens INT, heading STRING"
+BLOCKS = "text STRING, is_title BOOLEAN, rows ARRAY<ARRAY<STRING>>"
+QUESTIONS = "id STRING, question STRING, context STRING, context_id STRING, split STRING, company_name STRING, company_symbol STRING, company_cik BIGINT, report_year INT, subset_source STRING"
+SCORES = "id STRING, split STRING, cells MAP<STRING, ARRAY<ARRAY<STRING>>>"
+INGEST_LOG = "stem STRING, cik BIGINT, year INT, status STRING, raw_bytes BIGINT, fetch_s DOUBLE, parse_s DOUBLE, chunk_s DOUBLE, n_blocks INT, n_tables INT, n_chunks INT, median_tokens INT, max_tokens INT, error STRING, traceback STRING"
+SUBMISSION_PAGE = "form ARRAY<STRING>, filingDate ARRAY<STRING>, accessionNumber ARRAY<STRING>, primaryDocument ARRAY<STRING>, reportDate ARRAY<STRING>"
+SUBMISSIONS = "filings STRUCT<recent: STRUCT<form: ARRAY<STRING>, filingDate: ARRAY<STRING>, accessionNumber: ARRAY<STRING>, primaryDocument: ARRAY<STRING>, reportDate: ARRAY<STRING>>, files: ARRAY<STRUCT<name: STRING>>>"
+EVIDENCE = "table_rows ARRAY<ARRAY<STRING>>, sentences ARRAY<STRING>"
 ANSWER = "struct<value:double,status:string>"
 
 #: Retrieval depths, fusion and filter constants (fixed values).

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
-from quarry.model import BLOCKS, CHUNK_FILE, EVIDENCE, INGEST_LOG, QUESTIONS, SCORES, SUBMISSIONS
+from quarry.model import BLOCKS, CHUNK_FILE, EVIDENCE, INGEST_LOG, QUESTIONS, SCORES, SUBMISSION_PAGE, SUBMISSIONS
 
 SUBSETS = ("ConvFinQA", "FinQA", "TAT-DQA")
 
@@ -38,14 +38,19 @@ def corpus_present(spark: SparkSession, folder: str) -> bool:
     return exists(spark, f"{folder}/*.json")
 
 
+def _fields(schema: str) -> str:
+    """A flat DDL schema as the inside of a struct type."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
+
+
 def _stem() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
 
 
-def _array_files(spark: SparkSession, folder: str, schema, index: str) -> DataFrame:
+def _array_files(spark: SparkSession, folder: str, schema: str, index: str) -> DataFrame:
     """Files of one JSON array each, one row per element, with its position."""
     text = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("filing_stem", _stem())
-    listed = F.from_json("value", "array<" + schema.simpleString() + ">")
+    listed = F.from_json("value", f"array<struct<{_fields(schema)}>>")
     return text.select("filing_stem", F.posexplode(listed).alias(index, "x")).select("filing_stem", index, "x.*")
 
 
@@ -101,7 +106,7 @@ def evidence(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "question_id string, table_rows array<array<string>>, sentences array<string>")
     raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.explode(F.from_json("value", f"map<string,{EVIDENCE.simpleString()}>")).alias("question_id", "e")).select("question_id", "e.*")
+    return raw.select(F.explode(F.from_json("value", f"map<string,struct<{_fields(EVIDENCE)}>>")).alias("question_id", "e")).select("question_id", "e.*")
 
 
 def gold_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -132,9 +137,8 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     """(company_cik, page, recent): submission files CIK##########.json (page 0) and their older pages (page 1 and on, in their listed order)."""
     text = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("name", F.col("_metadata.file_name"))
     main = text.where(F.col("name").rlike(r"^CIK\d+\.json$")).select(F.regexp_extract("name", r"^CIK0*(\d+)\.json$", 1).cast("long").alias("company_cik"), F.from_json("value", SUBMISSIONS).alias("r"))
-    block = SUBMISSIONS["filings"].dataType["recent"].dataType.simpleString()
     older = main.select("company_cik", F.posexplode("r.filings.files").alias("at", "f")).select("company_cik", (F.col("at") + 1).alias("page"), F.col("f.name").alias("name"))
-    pages = older.join(text.select("name", F.from_json("value", block).alias("recent")), "name").select("company_cik", "page", "recent")
+    pages = older.join(text.select("name", F.from_json("value", SUBMISSION_PAGE).alias("recent")), "name").select("company_cik", "page", "recent")
     return main.select("company_cik", F.lit(0).alias("page"), F.col("r.filings.recent").alias("recent")).unionByName(pages)
 
 
@@ -155,6 +159,3 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
-
-def name_of(path: str) -> str:
-    return PurePosixPath(path).name

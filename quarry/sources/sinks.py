@@ -16,8 +16,7 @@ from quarry.sources.files import exists
 
 def create_chunk_table(spark: SparkSession, name: str) -> None:
     """An empty chunk table, partitioned by variant and fiscal year, so that reads of a variant skip the others."""
-    cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNKS if f.name != "variant")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}, ticker STRING, cik BIGINT, variant STRING, fiscal_year INT) USING parquet PARTITIONED BY (variant, fiscal_year)")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({CHUNKS}, ticker STRING, cik BIGINT, fiscal_year INT) USING parquet PARTITIONED BY (variant, fiscal_year)")
 
 
 def append_new(chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
