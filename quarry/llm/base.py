@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.lineage import cut  # noqa: F401
+
 #: Characters that separate tokens in the token counts (fixed values).
 TOKEN_SEPARATORS = " \t\r\n "
 TOKEN_RE = re.compile(f"[^{TOKEN_SEPARATORS}]+")
@@ -21,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Uses the checkpoint folder the cluster names; sets an own one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder, so that later reads neither recompute it nor depend on an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def n_tokens(col) -> F.Column:
     """Token count in the JVM; null counts as 0."""
     return F.coalesce(F.size(F.expr(f"regexp_extract_all({_name(col)}, r'{TOKEN_JAVA}', 0)")), F.lit(0))
