@@ -109,5 +109,28 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+#: Tokens, words and usable vectors as the test data defines them.
+_TOKENS = r"regexp_extract_all({x}, '[^ \t\r\n\x{{00A0}}]+')"
+_WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_LINES = r"""l AS (SELECT id, filing_stem, chunk_index, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, regexp_replace(trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^a-z0-9]+', ' ', 'g')), '[0-9]+', '#', 'g') AS k FROM chunks WHERE text IS NOT NULL AND filing_stem IS NOT NULL AND chunk_index IS NOT NULL),
+f AS (SELECT filing_stem, k FROM l WHERE regexp_matches(k, '[a-z]') GROUP BY 1, 2 HAVING count(DISTINCT chunk_index) >= 10), gone AS (SELECT id, line_no FROM l JOIN f USING (filing_stem, k))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the problems that it can express over whole tables; the others are tested against brute force."""
+    return {
+        "p1_found": f"SELECT 'chunk' AS item_kind, id AS item_id FROM chunks WHERE len({_TOKENS.format(x='text')}) > 1500 UNION SELECT 'atom', atom_id FROM atoms WHERE len({_TOKENS.format(x='text')}) > 1500",
+        "p4_found": f"""WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM chunks WHERE {_USABLE}), p AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS n FROM p WHERE c >= 0.9) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE n <= 5""",
+        "p5_found": f"WITH {_LINES} SELECT id, line_no FROM gone",
+        "p5_cleaned": f"""WITH {_LINES}, g AS (SELECT id, list(line_no) AS ns FROM gone GROUP BY id)
+SELECT c.id, coalesce(array_to_string(list_filter(string_split(c.text, chr(10)), lambda x, i: NOT list_contains(g.ns, i)), chr(10)), '') AS text FROM chunks c JOIN g USING (id)""",
+        "p6_found": f"""WITH w AS (SELECT id, {_WORDS.format(x="text")} AS w FROM chunks WHERE text IS NOT NULL), s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 25)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), j AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT x AS id_a, y AS id_b FROM j JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE k >= 0.7 * (p.n + q.n - k) - 1e-9""",
+        "p9_found": f"""WITH q AS (SELECT DISTINCT id, question, context FROM questions WHERE lower(trim(split)) = 'test' AND id IS NOT NULL), t AS (SELECT id, {_WORDS.format(x="question")} AS w FROM q UNION ALL SELECT id, {_WORDS.format(x="context")} FROM q),
+g AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)),
+d AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, id AS question_id FROM h JOIN g USING (g)""",
+    }

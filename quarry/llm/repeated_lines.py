@@ -63,4 +63,4 @@ def rebuild(docs: DataFrame, full: DataFrame) -> DataFrame:
     """(id, text) without the crossed lines, of the documents that contain any."""
     gone = occurrences(docs, full).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     kept = F.expr("filter(split(text, '\\n'), (x, i) -> not array_contains(gone, i + 1))")
-    return docs.join(gone, "id").select("id", F.array_join(kept, "\n").alias("text"))
+    return docs.select("id", "text").join(gone, "id").select("id", F.array_join(kept, "\n").alias("text"))
