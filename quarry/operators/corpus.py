@@ -137,7 +137,7 @@ def atoms(blocks: DataFrame, count: Callable[[str], int] = word_count) -> DataFr
             cols = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()))], names=["filing_stem", "atom_index", "text", "tokens", "is_title", "is_table", "is_furniture"])
 
-    cols = flagged.select("filing_stem", F.col("block_index").cast("long"), "text", "is_title", "rows", "furniture")
+    cols = flagged.select("filing_stem", F.coalesce(F.col("block_index").cast("long"), F.lit(0)).alias("block_index"), "text", "is_title", "rows", "furniture")
     return cols.mapInArrow(cut, "filing_stem string, atom_index long, text string, tokens int, is_title boolean, is_table boolean, is_furniture boolean")
 
 
