@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.base import spread
+
 DEFECTS = ["empty", "copied", "refusal", "truncated", "other_language"]
 
 #: Responses that stand for none (fixed values), as they remain after markup and labels are removed.
@@ -237,6 +239,6 @@ def defects(pairs: DataFrame, key: str = "request_id", question: str = "question
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array([DEFECTS.index(found[i]) for i in at], pa.int32())], names=[key, "at"])
 
     kind = pairs.schema[key].dataType.simpleString()
-    judged = pairs.select(key, question, answer).mapInArrow(run, f"`{key}` {kind}, at int")
+    judged = spread(pairs.select(key, question, answer)).mapInArrow(run, f"`{key}` {kind}, at int")
     names = F.array(*map(F.lit, DEFECTS))
     return judged.groupBy(key).agg(F.min("at").alias("at")).select(key, F.element_at(names, F.col("at") + 1).alias("defect"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import cut, mix64
+from quarry.llm.base import cores, cut, mix64, spread
 
 #: Encodings in which UTF-8 bytes are read by mistake (fixed values: codec names).
 READ_FOR_UTF8 = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "koi8_r", "cp866"]
@@ -45,6 +45,8 @@ LOST_CHAR = "�"
 #: Bounded tables of the character model: hashed pairs and characters.
 PAIRS, CHARS = 1 << 17, 1 << 13
 ROUNDS = 3
+#: Nats by which a lost character counts as a loss, and by which a reading may at first be less likely than the token.
+LOSS, FAR = 12.0, 12.0
 #: Share of the tokens in a garbled record that the garbling reaches, before anything is known.
 REACHED = 0.5
 #: A source's records count beside this many imaginary ones, of which this share is garbled by each chain.
@@ -122,26 +124,41 @@ def readings(token: str) -> list[tuple[int, str]]:
     return out
 
 
-def _pairs(token: str) -> np.ndarray:
-    codes = np.fromiter(map(ord, f"\x02{token}\x03"), np.uint64)
-    return (mix64(codes[:-1] * np.uint64(1 << 21) + codes[1:]) % np.uint64(PAIRS)).astype(np.int64)
+class Flat:
+    """Characters of many texts at once, framed by marks: pair and character cells, and where each text begins."""
 
+    def __init__(self, texts: list[str]):
+        joined = "".join(f"\x02{t}\x03" for t in texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.size = np.fromiter((len(t) + 2 for t in texts), np.int64, count=len(texts))
+        self.start = np.cumsum(self.size) - self.size
+        self.chars = (mix64(codes) % np.uint64(CHARS)).astype(np.int64)
+        after = np.append(codes[1:], codes[:1]) if len(codes) else codes
+        self.pairs = (mix64(codes * np.uint64(1 << 21) + after) % np.uint64(PAIRS)).astype(np.int64)
+        self.inside = np.ones(len(codes), bool)  # the pair of a text's last mark with the next text's first one is none
+        self.inside[self.start + self.size - 1] = False
 
-def _chars(token: str) -> np.ndarray:
-    codes = np.fromiter(map(ord, f"\x02{token}\x03"), np.uint64)
-    return (mix64(codes) % np.uint64(CHARS)).astype(np.int64)
+    def counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.repeat(weight, self.size)
+        return np.bincount(self.pairs, w * self.inside, PAIRS), np.bincount(self.chars, w, CHARS)
 
 
 class Model:
-    """Log probability of a token's characters by the pair counts, backed by the counts of characters."""
+    """Log probability of a text's characters by the pair counts, backed by the counts of characters."""
 
     def __init__(self, pairs: np.ndarray, chars: np.ndarray):
         self.pairs, self.chars, self.total = pairs, chars, chars.sum()
 
+    def many(self, flat: Flat) -> np.ndarray:
+        if not len(flat.start):
+            return np.zeros(0)
+        c = self.chars[flat.chars]
+        single = (np.append(c[1:], 0) + 0.05) / (self.total + 400)
+        logs = np.log((self.pairs[flat.pairs] + 2 * single) / (c + 2)) * flat.inside
+        return np.add.reduceat(logs, flat.start)
+
     def __call__(self, token: str) -> float:
-        c = self.chars[_chars(token)]
-        single = (c[1:] + 0.05) / (self.total + 400)
-        return float(np.log((self.pairs[_pairs(token)] + 2 * single) / (c[:-1] + 2)).sum())
+        return float(self.many(Flat([token]))[0])
 
 
 def _counts(parts: DataFrame) -> Model:
@@ -153,24 +170,42 @@ def _counts(parts: DataFrame) -> Model:
     return Model(pairs, chars)
 
 
-def _weights(logs: np.ndarray) -> np.ndarray:
-    w = np.exp(logs - logs.max())
-    return w / w.sum()
-
-
-def _posteriors(model: Model, token: str, chains: list[int], meant: list[str], prior: dict[int, float]) -> np.ndarray:
-    """Weights of the reading as it stands and of the chains."""
-    clean = model(token) + math.log(max(1e-9, 1 - sum(prior.values())))
-    logs = [clean]
-    for k, m in zip(chains, meant):
-        logs.append(math.log(prior.get(k, PRIOR)) + (clean + 12 if k == LOST else model(m)))
-    return _weights(np.array(logs))
-
-
 def _prior(rows) -> dict[int, float]:
     return {r["chain"]: r["share"] for r in rows or []}
 
 
+class Readings:
+    """The tokens of a batch with their readings, laid out flat: each token as it stands, then its readings."""
+
+    def __init__(self, tokens: list[str], chains: list, meant: list):
+        self.chain = np.array([k for ks in chains for k in (CLEAN, *(ks or ()))], np.int64)
+        texts = [x for t, ms in zip(tokens, meant) for x in (t, *(ms or ()))]
+        self.many = np.array([len(ks or ()) + 1 for ks in chains], np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.owner = np.repeat(np.arange(len(tokens)), self.many)
+        self.lost = np.fromiter((LOST_CHAR in x for x in texts), bool, count=len(texts))
+        self.flat = Flat(texts)
+
+    def logs(self, model: Model) -> np.ndarray:
+        """Log probabilities; a lost character is taken for much less likely as it stands than as a loss."""
+        logs = model.many(self.flat)
+        stands = logs[self.first][self.owner] if len(logs) else logs
+        return np.where(self.chain == LOST, stands + LOSS, logs)
+
+    def weights(self, model: Model, shares: list) -> np.ndarray:
+        """Posterior of each reading, by the model and the chains' shares in the token's source."""
+        prior = np.full(len(self.chain), PRIOR)
+        for i, rows in enumerate(shares):
+            own = _prior(rows)
+            a, n = self.first[i], self.many[i]
+            prior[a] = max(1e-9, 1 - sum(own.values()))
+            for j in range(a + 1, a + n):
+                prior[j] = own.get(int(self.chain[j]), PRIOR)
+        logs = self.logs(model) + np.log(prior)
+        w = np.exp(logs - np.maximum.reduceat(logs, self.first)[self.owner])
+        return w / np.add.reduceat(w, self.first)[self.owner]
+
+
 _PARTS = "kind int, at int, source string, chain int, weight double"
 
 
@@ -180,30 +215,46 @@ def _step(tokens: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, chars, uses = np.zeros(PAIRS), np.zeros(CHARS), {}
-            for source, token, n, chains, meant, shares in zip(*(c.to_pylist() for c in batch.columns)):
-                chains, meant = chains or [], meant or []
-                if model is None or not chains:
-                    w = np.eye(1, len(chains) + 1)[0]
-                else:
-                    w = _posteriors(model, token, chains, meant, _prior(shares))
-                for weight, text in zip(w, [token, *meant]):
-                    if weight > 1e-6 and LOST_CHAR not in text:
-                        np.add.at(pairs, _pairs(text), weight * n)
-                        np.add.at(chars, _chars(text), weight * n)
-                if chains:
-                    for weight, k in zip(w, [CLEAN, *chains]):
-                        uses[source, k] = uses.get((source, k), 0.0) + weight * n
+            if not batch.num_rows:
+                continue
+            sources, tokens, n, chains, meant, shares = (c.to_pylist() for c in batch.columns)
+            r = Readings(tokens, chains, meant)
+            w = (r.chain == CLEAN).astype(float) if model is None else r.weights(model, shares)
+            w = w * np.array(n, float)[r.owner]
+            pairs, chars = r.flat.counts(np.where(r.lost | (w < 1e-6), 0, w))
+            uses: dict[tuple, float] = {}
+            for i in np.flatnonzero(r.many[r.owner] > 1):
+                key = (sources[r.owner[i]], int(r.chain[i]))
+                uses[key] = uses.get(key, 0.0) + float(w[i])
             p, c = np.flatnonzero(pairs), np.flatnonzero(chars)
             kind = [0] * len(p) + [1] * len(c) + [2] * len(uses)
+            none = [None] * (len(p) + len(c))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.array([*p, *c, *[0] * len(uses)], pa.int32()), pa.array([None] * (len(p) + len(c)) + [s for s, _ in uses], pa.string()), pa.array([None] * (len(p) + len(c)) + [k for _, k in uses], pa.int32()), pa.array([*pairs[p], *chars[c], *uses.values()], pa.float64())],
+                [pa.array(kind, pa.int32()), pa.array(np.concatenate([p, c, np.zeros(len(uses), np.int64)]), pa.int64()).cast(pa.int32()), pa.array(none + [s for s, _ in uses], pa.string()), pa.array(none + [k for _, k in uses], pa.int32()), pa.array(np.concatenate([pairs[p], chars[c], list(uses.values())]), pa.float64())],
                 names=["kind", "at", "source", "chain", "weight"],
             )
 
     return tokens.select("source", "token", "n", "chains", "meant", "shares").mapInArrow(run, _PARTS)
 
 
+def _plausible(tokens: DataFrame, model: Model) -> DataFrame:
+    """tokens without readings that the first model holds for less likely than the token by FAR nats: later models differ
+    from it by the garbled tokens' share only, which weighs less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, tokens, _, chains, meant = (c.to_pylist() for c in batch.columns)
+            r = Readings(tokens, chains, meant)
+            logs = r.logs(model)
+            near = logs >= logs[r.first][r.owner] - FAR
+            keep = [[j for j in range(len(ks or ())) if near[a + 1 + j]] for ks, a in zip(chains, r.first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([[ks[j] for j in k] for ks, k in zip(chains, keep)], pa.list_(pa.int32())), pa.array([[ms[j] for j in k] for ms, k in zip(meant, keep)], pa.list_(pa.string()))], names=["source", "token", "n", "chains", "meant"])
+
+    return tokens.select("source", "token", "n", "chains", "meant").mapInArrow(run, "source string, token string, n long, chains array<int>, meant array<string>")
+
+
 def _with_shares(tokens: DataFrame, shares: DataFrame | None) -> DataFrame:
     empty = F.lit(None).cast("array<struct<chain:int,share:double>>")
     if shares is None:
@@ -221,7 +272,7 @@ def _shares(parts: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, Model]:
     """(id, chain, posterior) of the records found garbled, and the character model."""
-    d = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    d = spread(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     found = F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, r'{TOKEN_JAVA}', 0)"))).alias("token")
     part = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / LONGEST).cast("int")), lambda i: F.substring("token", i * LONGEST + 1, F.lit(LONGEST)))).alias("token")
     each = cut(d.select("id", "source", found).select("id", "source", part).distinct())
@@ -231,10 +282,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             all_readings = [readings(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for k, _ in r] for r in all_readings], pa.list_(pa.int32())), pa.array([[m for _, m in r] for r in all_readings], pa.list_(pa.string()))], names=["token", "chains", "meant"])
 
-    known = each.select("token").distinct().mapInArrow(read, "token string, chains array<int>, meant array<string>")
+    # tokens are few bytes but much work: they are spread over the cores, not by their size
+    tasks = 4 * cores(docs.sparkSession)
+    known = each.select("token").distinct().repartition(tasks).mapInArrow(read, "token string, chains array<int>, meant array<string>")
     counted = each.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
-    tokens = cut(counted.join(known, "token").select("source", "token", "n", "chains", "meant"))
+    tokens = cut(counted.join(known, "token").select("source", "token", "n", "chains", "meant").repartition(tasks))
     model, shares = _counts(_step(_with_shares(tokens, None), None).where("kind < 2")), None
+    tokens = cut(_plausible(tokens, model))
     for _ in range(ROUNDS):
         parts = cut(_step(_with_shares(tokens, shares), model))
         model, shares = _counts(parts.where("kind < 2")), _shares(parts)
@@ -245,16 +299,18 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Log evidence of each reading against the token as it stands, in nats, and the chain's prior log odds."""
         for batch in batches:
-            rows = []
-            for src, token, chains, meant, usual in zip(*(c.to_pylist() for c in batch.columns)):
-                stands, prior = last(token), _prior(usual)
-                for k, m in zip(chains, meant):
-                    gain = 12.0 if k == LOST else last(m) - stands
-                    if gain > -5:
-                        p = min(max(prior.get(k, PRIOR), 1e-6), 0.99)
-                        rows.append((src, token, k, math.log(1 - REACHED + REACHED * math.exp(min(gain, 60.0))), math.log(p / (1 - p))))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64()))], names=["source", "token", "chain", "gain", "odds"])
+            if not batch.num_rows:
+                continue
+            sources, tokens, chains, meant, usual = (c.to_pylist() for c in batch.columns)
+            r = Readings(tokens, chains, meant)
+            logs = r.logs(last)
+            gain = np.minimum(logs - logs[r.first][r.owner], 60.0)
+            at = np.flatnonzero((r.chain != CLEAN) & (gain > -5))
+            prior = [min(max(_prior(usual[r.owner[i]]).get(int(r.chain[i]), PRIOR), 1e-6), 0.99) for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sources[r.owner[i]] for i in at], pa.string()), pa.array([tokens[r.owner[i]] for i in at], pa.string()), pa.array(r.chain[at]).cast(pa.int32()), pa.array(np.log(1 - REACHED + REACHED * np.exp(gain[at]))), pa.array([math.log(p / (1 - p)) for p in prior], pa.float64())],
+                names=["source", "token", "chain", "gain", "odds"],
+            )
 
     gains = suspect.select("source", "token", "chains", "meant", "shares").mapInArrow(weigh, "source string, token string, chain int, gain double, odds double")
     gains = gains.withColumnsRenamed({"source": "s", "token": "t"})

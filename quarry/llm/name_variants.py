@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.base import spread
 from quarry.llm.metric_names import LONGEST, coded, levenshtein, radius_join
 
 #: Words of legal forms (fixed values).
@@ -169,7 +170,7 @@ def named(requests: DataFrame, names: Names, out: str = "company_cik") -> DataFr
             index = pa.array(np.repeat(np.arange(len(all_)), size))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["request_id", "question", "at", "n", "name"])
 
-    each = asked.mapInArrow(split, "request_id long, question string, at int, n int, name string")
+    each = spread(asked).mapInArrow(split, "request_id long, question string, at int, n int, name string")
     pairs = radius_join(each.select("name"), names.forms())
     hits = each.join(pairs, "name").groupBy("request_id", "question").agg(F.collect_list(F.struct("at", "n", "form", "distance")).alias("hits"))
     letters = asked.where(F.col("question").rlike(r"[A-Z]{2}|[A-Z]\.")).select("request_id", "question", F.array().cast("array<struct<at:int,n:int,form:string,distance:int>>").alias("hits"))

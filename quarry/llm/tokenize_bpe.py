@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.base import list_array
+from quarry.llm.base import list_array, spread
 
 #: Longest word, in bytes, whose boundaries are scanned rather than kept in a heap.
 SCAN_BYTES = 200
@@ -114,4 +114,4 @@ def encode(df: DataFrame, key: str, text: str, ranks_file: str, pattern: str) ->
             flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, sizes, pa.int32())], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
