@@ -19,3 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder, so that later reads neither recompute it nor depend on an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cores(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """df over all cores where it is estimated at under `least` bytes a core: so small an input often lies in one file of one
+    row group, which one task would read. Larger inputs have splits enough and stay as they are."""
+    n = cores(df.sparkSession)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if n > 1 and size < n * least else df
