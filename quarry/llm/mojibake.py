@@ -30,6 +30,8 @@ from quarry.llm.base import cores, cut, mix64, spread
 
 #: Encodings in which UTF-8 bytes are read by mistake (fixed values: codec names).
 READ_FOR_UTF8 = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "koi8_r", "cp866"]
+#: The one of them in which the bytes of sequences are common letters, so that correct words hold such by chance.
+LETTERS = "cp866"
 #: Single-byte encodings taken for one another: written, read.
 TAKEN_FOR = [
     ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp1251", "mac_roman"),
@@ -47,6 +49,8 @@ PAIRS, CHARS = 1 << 17, 1 << 13
 ROUNDS = 3
 #: Nats by which a lost character counts as a loss, and by which a reading may at first be less likely than the token.
 LOSS, FAR = 12.0, 12.0
+#: Weight of a token that holds a valid UTF-8 sequence, in the first model.
+START = 0.02
 #: Share of the tokens in a garbled record that the garbling reaches, before anything is known.
 REACHED = 0.5
 #: A source's records count beside this many imaginary ones, of which this share is garbled by each chain.
@@ -186,6 +190,11 @@ class Readings:
         self.lost = np.fromiter((LOST_CHAR in x for x in texts), bool, count=len(texts))
         self.flat = Flat(texts)
 
+    def reads_utf8(self) -> np.ndarray:
+        """Whether any reading of a token undoes UTF-8, other than those under which common letters make valid sequences."""
+        telling = np.array([w == "utf-8" and r != LETTERS for w, r, _ in CHAINS] + [False, False])  # and LOST, CLEAN
+        return np.maximum.reduceat(telling[self.chain], self.first) if len(self.first) else np.zeros(0, bool)
+
     def logs(self, model: Model) -> np.ndarray:
         """Log probabilities; a lost character is taken for much less likely as it stands than as a loss."""
         logs = model.many(self.flat)
@@ -211,7 +220,8 @@ _PARTS = "kind int, at int, source string, chain int, weight double"
 
 def _step(tokens: DataFrame, model: Model | None) -> DataFrame:
     """E step over (source, token, n, chains, meant, shares): expected counts of pairs (kind 0), characters (1) and chains
-    of a source (2). Without a model every token counts as it stands."""
+    of a source (2). Without a model every token counts as it stands, those that hold a valid UTF-8 sequence by START only:
+    by chance such a sequence is rare, and counted in full it would make itself look usual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +229,7 @@ def _step(tokens: DataFrame, model: Model | None) -> DataFrame:
                 continue
             sources, tokens, n, chains, meant, shares = (c.to_pylist() for c in batch.columns)
             r = Readings(tokens, chains, meant)
-            w = (r.chain == CLEAN).astype(float) if model is None else r.weights(model, shares)
+            w = r.weights(model, shares) if model is not None else (r.chain == CLEAN) * np.where(r.reads_utf8()[r.owner], START, 1.0)
             w = w * np.array(n, float)[r.owner]
             pairs, chars = r.flat.counts(np.where(r.lost | (w < 1e-6), 0, w))
             uses: dict[tuple, float] = {}
