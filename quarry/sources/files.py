@@ -49,7 +49,7 @@ def _stem() -> F.Column:
 
 def _array_files(spark: SparkSession, folder: str, schema: str, index: str) -> DataFrame:
     """Files of one JSON array each, one row per element, with its position."""
-    text = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("filing_stem", _stem())
+    text = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("filing_stem", _stem())
     listed = F.from_json("value", f"array<struct<{_fields(schema)}>>")
     return text.select("filing_stem", F.posexplode(listed).alias(index, "x")).select("filing_stem", index, "x.*")
 
@@ -89,7 +89,7 @@ def score_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((alias, tickers), (ticker)) of a lexicon file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "aliases map<string,array<string>>, tickers array<string>").alias("r"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "aliases map<string,array<string>>, tickers array<string>").alias("r"))
     return raw.select(F.explode("r.aliases").alias("alias", "tickers")).withColumn("tickers", F.array_sort("tickers")), raw.select(F.explode("r.tickers").alias("ticker"))
 
 
@@ -105,7 +105,7 @@ def evidence(spark: SparkSession, path: str) -> DataFrame:
     """(question_id, table_rows, sentences); a missing file gives no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], "question_id string, table_rows array<array<string>>, sentences array<string>")
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"map<string,struct<{_fields(EVIDENCE)}>>")).alias("question_id", "e")).select("question_id", "e.*")
 
 
@@ -119,7 +119,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     """(filing_stem, table_index, summary) of keys stem:table; a missing file gives no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], "filing_stem string, table_index int, summary string")
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "summary"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "summary"))
     return raw.select(F.regexp_extract("k", r"^(.*):(\d+)$", 1).alias("filing_stem"), F.regexp_extract("k", r"^(.*):(\d+)$", 2).cast("int").alias("table_index"), "summary")
 
 
@@ -130,12 +130,12 @@ def ingest_log(spark: SparkSession, path: str) -> DataFrame:
 def raw_filings(spark: SparkSession, folder: str) -> DataFrame:
     """(filing_stem, html); bytes that are no UTF-8 become replacement characters."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").load(folder)
-    return raw.select(F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("filing_stem"), F.decode(F.col("content"), "UTF-8").alias("html"))
+    return raw.select(F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("filing_stem"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
     """(company_cik, page, recent): submission files CIK##########.json (page 0) and their older pages (page 1 and on, in their listed order)."""
-    text = spark.read.option("wholetext", True).text(f"{folder}/*.json").withColumn("name", F.col("_metadata.file_name"))
+    text = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("name", F.col("_metadata.file_name"))
     main = text.where(F.col("name").rlike(r"^CIK\d+\.json$")).select(F.regexp_extract("name", r"^CIK0*(\d+)\.json$", 1).cast("long").alias("company_cik"), F.from_json("value", SUBMISSIONS).alias("r"))
     older = main.select("company_cik", F.posexplode("r.filings.files").alias("at", "f")).select("company_cik", (F.col("at") + 1).alias("page"), F.col("f.name").alias("name"))
     pages = older.join(text.select("name", F.from_json("value", SUBMISSION_PAGE).alias("recent")), "name").select("company_cik", "page", "recent")
