@@ -38,6 +38,18 @@ def filing_stats(chunks: DataFrame) -> DataFrame:
     return stats.select("filing_stem", "n_chunks", median.alias("median_tokens"), F.coalesce(F.array_max("t"), F.lit(0)).alias("max_tokens"))
 
 
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """(filing_stem, n_blocks, n_tables) of blocks or atoms with is_table."""
+    return blocks.groupBy("filing_stem").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.coalesce("is_table", F.lit(False))).alias("n_tables"))
+
+
+def word_list_problems(words: DataFrame, least: int = 200_000, sentinels: tuple[str, ...] = ("visa", "target", "apple", "gap")) -> list[str]:
+    """What is wrong with a list of English words (word): too short, or without words that are names as well."""
+    n = words.select("word").distinct().count()
+    found = {r["word"] for r in words.where(F.col("word").isin(*sentinels)).select("word").distinct().collect()}
+    return [f"{n} words, {least} expected"] * (n < least) + [f"no {w!r}" for w in sentinels if w not in found]
+
+
 def not_loaded(filings: DataFrame, loaded: DataFrame) -> DataFrame:
     """Filings whose stem has no chunk yet."""
     return filings.join(loaded.select("filing_stem").distinct(), "filing_stem", "left_anti")

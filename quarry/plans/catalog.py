@@ -143,6 +143,11 @@ def ingest_stats(spark, d):
     return corpus.filing_stats(t(spark, d, "chunks"))
 
 
+@query
+def block_stats(spark, d):
+    return corpus.block_stats(t(spark, d, "atoms").distinct())
+
+
 @query
 def status_histogram(spark, d):
     return t(spark, d, "ingest_log").distinct().groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fetch_s"), 9).alias("fetch_s"), F.round(F.avg("parse_s"), 9).alias("parse_s"))
@@ -334,10 +339,11 @@ def gold_layers(spark, d):
 
 @query
 def label_diff(spark, d):
-    """Labels by summary against those where variants of the same question id count: row keys over the context."""
-    q = t(spark, d, "questions").where("id IS NOT NULL").groupBy("id").agg(F.min(F.lower(F.trim("split"))).alias("split"), F.min("context_id").alias("row_key"), F.min("report_year").alias("y"))
-    old = q.where("y IS NULL OR y % 5 <> 0").select("split", "id", "row_key", F.array(F.col("y")).alias("gold"))
-    new = q.where("y IS NULL OR y % 7 <> 0").select("split", "id", F.when(F.col("y") % 3 == 0, F.lit("moved")).otherwise(F.col("row_key")).alias("row_key"), F.array(F.when(F.col("y") % 4 == 0, F.lit(0)).otherwise(F.col("y"))).alias("gold"))
+    """Two label tables of overlapping subsets: before and after the split names were tidied."""
+    q = t(spark, d, "questions").where("id IS NOT NULL").groupBy("id").agg(F.min("split").alias("s"), F.min("subset_source").alias("subset"))
+    tidy = F.lower(F.trim("s")).alias("split")
+    old = q.where("subset IN ('FinQA', 'ConvFinQA')").select(tidy, "id", F.col("s").alias("row_key"), F.array(F.length("s")).alias("gold"))
+    new = q.where("subset IN ('ConvFinQA', 'TAT-DQA')").select(tidy, "id", F.lower("s").alias("row_key"), F.array(F.length(F.trim("s"))).alias("gold"))
     return gold.label_diff(old, new)
 
 
@@ -445,8 +451,8 @@ def answer_headline(spark, d):
 
 
 def _results(spark, d) -> DataFrame:
-    """Cited pairs of the query set as results, with texts."""
-    r = t(spark, d, "ask_responses").where("request_id % 50 = 0").select("request_id", "citations").distinct()
+    """Cited pairs of all responses as results, with texts."""
+    r = t(spark, d, "ask_responses").select("request_id", "citations").distinct()
     c = r.select(F.col("request_id").alias("query_id"), F.posexplode("citations").alias("pos", "c")).select("query_id", (F.col("pos") + 1).alias("rank"), "c.filing_stem", "c.chunk_index", "c.score")
     return retrieval.texts(c, _chunks(spark, d))
 
@@ -459,14 +465,15 @@ def evidence_text(spark, d):
 @query
 def prompts(spark, d):
     e = answer.evidence(_results(spark, d))
-    p = _asked(spark, d).select("query_id", "question").join(e, "query_id").select("query_id", answer.prompt(F.col("question"), F.col("evidence")).alias("prompt"))
+    asked = t(spark, d, "ask_requests").where("question IS NOT NULL").select(F.col("request_id").alias("query_id"), "question").distinct()
+    p = asked.join(e, "query_id").select("query_id", answer.prompt(F.col("question"), F.col("evidence")).alias("prompt"))
     return p.select("query_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
 
 
 @query
 def citation_texts(spark, d):
-    """Citations of the query set, with texts only where the request asked for them."""
-    asked = t(spark, d, "ask_requests").where("request_id % 50 = 0").groupBy(F.col("request_id").alias("query_id")).agg(F.max("include_text").alias("wants"))
+    """Citations of all responses, with texts only where the request asked for them."""
+    asked = t(spark, d, "ask_requests").groupBy(F.col("request_id").alias("query_id")).agg(F.max("include_text").alias("wants"))
     rows = _results(spark, d).join(asked, "query_id")
     return answer.citations(rows, F.col("wants")).select("query_id", F.posexplode("citations").alias("pos", "c")).select("query_id", "pos", "c.filing_stem", "c.chunk_index", "c.text")
 

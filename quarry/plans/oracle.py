@@ -105,7 +105,7 @@ _FALSE = "'no','false','lower','less','decrease','decreased','fewer'"
 _MATCHED = """matched AS (SELECT DISTINCT q.id, s.filing_stem, q.subset_source FROM questions q JOIN (SELECT split_part(filing_stem, '_', -1)::BIGINT AS c, split_part(filing_stem, '_', -2)::INT AS y, max(filing_stem) AS filing_stem
   FROM chunks WHERE regexp_full_match(filing_stem, '.*_\\d+_\\d+') GROUP BY 1, 2) s ON s.c = q.company_cik AND s.y = q.report_year WHERE q.subset_source IN ('FinQA', 'ConvFinQA'))""".replace("\\\\", "\\")
 _RESULTS = """res AS (SELECT r.query_id, r.rank, r.filing_stem, r.chunk_index, r.score, c.text FROM (SELECT query_id, rank, x.filing_stem AS filing_stem, x.chunk_index AS chunk_index, x.score AS score FROM (
-  SELECT query_id, unnest(cs) AS x, unnest(range(1, len(cs) + 1)) AS rank FROM (SELECT DISTINCT request_id AS query_id, citations AS cs FROM ask_responses WHERE request_id % 50 = 0))) r
+  SELECT query_id, unnest(cs) AS x, unnest(range(1, len(cs) + 1)) AS rank FROM (SELECT DISTINCT request_id AS query_id, citations AS cs FROM ask_responses))) r
   JOIN cur c ON c.filing_stem = r.filing_stem AND c.chunk_index = r.chunk_index WHERE c.text IS NOT NULL)"""
 _EVID = "ev AS (SELECT query_id, string_agg('[' || filing_stem || ' chunk ' || chunk_index || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM res GROUP BY query_id)"
 
@@ -139,6 +139,7 @@ SELECT query_id, filing_stem, chunk_index, score, place AS rank FROM (SELECT *,
   FROM (SELECT request_id, {years_of("question")} AS ys, unnest(citations) AS c FROM ask_responses)""",
         "preflight": "SELECT coalesce(c.variant, e.variant) AS variant, coalesce(n, 0) AS n_rows, coalesce(m, 0) AS n_embedded, coalesce(n, 0) - coalesce(x, 0) AS delta, (coalesce(n, 0) = coalesce(x, 0) AND coalesce(n, 0) = coalesce(m, 0)) AS ok FROM (SELECT variant, count(*) AS n, count(embedding) AS m FROM chunks GROUP BY variant) c FULL JOIN (SELECT 'A' AS variant, 99654 AS x) e ON c.variant = e.variant",
         "ingest_stats": "SELECT filing_stem, count(*) AS n_chunks, coalesce((list_sort(list(n_tokens) FILTER (WHERE n_tokens IS NOT NULL)))[count(n_tokens) // 2 + 1], 0) AS median_tokens, coalesce(max(n_tokens), 0) AS max_tokens FROM chunks GROUP BY filing_stem",
+        "block_stats": "SELECT filing_stem, count(*) AS n_blocks, count(*) FILTER (WHERE coalesce(is_table, false)) AS n_tables FROM (SELECT DISTINCT * FROM atoms) GROUP BY 1",
         "status_histogram": "SELECT status, count(*) AS n, round(avg(fetch_s), 9) AS fetch_s, round(avg(parse_s), 9) AS parse_s FROM (SELECT DISTINCT * FROM ingest_log) GROUP BY status",
         "retrieval_seconds": "SELECT 'total' AS stage, round(avg(latency_s), 6) AS mean_s, count(latency_s) AS n FROM ask_responses UNION ALL SELECT e.key AS stage, round(avg(e.value), 6), count(e.value) FROM (SELECT unnest(map_entries(stage_latency)) AS e FROM ask_responses) GROUP BY 1",
         "recall_ndcg_mrr": _with(CUR, ASKED, CITED, _dense(True), _GOLD, _SCORED) + "SELECT query_id, missing, no_gold, round(recall_10, 9) AS recall_10, round(recall_50, 9) AS recall_50, round(ndcg_10, 9) AS ndcg_10, round(mrr, 9) AS mrr FROM sc",
@@ -160,8 +161,8 @@ SELECT filing_stem, atom_id, {_FURN} OR count(*) OVER (PARTITION BY filing_stem,
         "gap_clusters": _with(CUR) + """, m AS (SELECT filing_stem AS g, chunk_index AS p FROM cur WHERE contains(lower(text), 'goodwill')), l AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY g ORDER BY p) > 3 THEN 1 ELSE 0 END AS s FROM m),
 c AS (SELECT *, sum(s) OVER (PARTITION BY g ORDER BY p ROWS UNBOUNDED PRECEDING) AS cluster FROM l) SELECT g AS "group", cluster::BIGINT AS cluster, min(p) AS first, max(p) AS last, count(*) AS n FROM c GROUP BY 1, 2""",
         "summary_match": _with(CUR) + ", h AS (SELECT filing_stem, arg_min(heading, chunk_index) AS s FROM cur WHERE heading IS NOT NULL GROUP BY 1) SELECT DISTINCT 'q_' || filing_stem AS question_id, c.chunk_index FROM (SELECT DISTINCT filing_stem FROM atoms) m JOIN h USING (filing_stem) JOIN cur c USING (filing_stem) WHERE contains(c.text, h.s)",
-        "label_diff": """WITH q AS (SELECT id, min(lower(trim(split))) AS split, min(context_id) AS rk, min(report_year) AS y FROM questions WHERE id IS NOT NULL GROUP BY id),
-o AS (SELECT split, id, rk, y AS g FROM q WHERE y IS NULL OR y % 5 <> 0), n AS (SELECT split, id, CASE WHEN y % 3 = 0 THEN 'moved' ELSE rk END AS rk, CASE WHEN y % 4 = 0 THEN 0 ELSE y END AS g FROM q WHERE y IS NULL OR y % 7 <> 0)
+        "label_diff": """WITH q AS (SELECT id, min(split) AS s, min(subset_source) AS subset FROM questions WHERE id IS NOT NULL GROUP BY id),
+o AS (SELECT lower(trim(s)) AS split, id, s AS rk, length(s) AS g FROM q WHERE subset IN ('FinQA', 'ConvFinQA')), n AS (SELECT lower(trim(s)) AS split, id, lower(s) AS rk, length(trim(s)) AS g FROM q WHERE subset IN ('ConvFinQA', 'TAT-DQA'))
 SELECT * FROM (SELECT coalesce(o.split, n.split) AS split, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'missing' WHEN o.id IS NULL THEN 'extra' WHEN o.g IS DISTINCT FROM n.g THEN 'gold differs' WHEN o.rk IS DISTINCT FROM n.rk THEN 'row differs' END AS change
   FROM o FULL JOIN n ON o.id = n.id AND o.split = n.split) WHERE change IS NOT NULL""",
         "company_normalize": f"SELECT company_cik, {normal_of('company_name')} AS normal, {bare_of('trim(' + normal_of('company_name') + ')')} AS bare FROM companies",
@@ -178,7 +179,7 @@ SELECT request_id, CASE WHEN NOT has THEN NULL WHEN num <> '' THEN f WHEN w IN (
 CASE WHEN answer IS NULL OR NOT regexp_matches(answer, '\S') THEN 'empty' WHEN NOT has THEN 'no_answer_line' WHEN num <> '' AND f IS NOT NULL THEN 'ok' WHEN num <> '' THEN 'no_number' WHEN w IN ({_TRUE}, {_FALSE}) THEN 'ok'
   WHEN regexp_matches(b, '(?i)insufficient|cannot|not (?:provided|available|stated|found)|unknown') THEN 'refused' ELSE 'no_number' END AS status FROM v""",
         "evidence_text": _with(CUR, _RESULTS, _EVID) + "SELECT query_id, md5(evidence) AS evidence_md5, length(evidence) AS n_chars FROM ev",
-        "prompts": _with(CUR, ASKED, _RESULTS, _EVID) + f"SELECT query_id, md5(p) AS prompt_md5, length(p) AS n_chars FROM (SELECT query_id, '{head}' || question || '{middle}' || evidence || '{tail}' AS p FROM asked JOIN ev USING (query_id))",
+        "prompts": _with(CUR, "asked AS (SELECT DISTINCT request_id AS query_id, question FROM ask_requests WHERE question IS NOT NULL)", _RESULTS, _EVID) + f"SELECT query_id, md5(p) AS prompt_md5, length(p) AS n_chars FROM (SELECT query_id, '{head}' || question || '{middle}' || evidence || '{tail}' AS p FROM asked JOIN ev USING (query_id))",
         "citation_texts": _with(CUR, _RESULTS) + "SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) - 1 AS pos, filing_stem, chunk_index, CASE WHEN w.wants THEN text END AS text FROM res r JOIN (SELECT request_id AS query_id, bool_or(include_text) AS wants FROM ask_requests GROUP BY 1) w ON w.query_id = r.query_id",
         "request_validation": "SELECT DISTINCT request_id, coalesce(k, 10) AS k, coalesce(include_text, false) AS include_text, coalesce(length(question) BETWEEN 1 AND 2000 AND coalesce(k, 10) BETWEEN 1 AND 50, false) AS valid FROM ask_requests",
         "cited_value": _with(CUR) + rf""", p AS (SELECT DISTINCT request_id, value, c.filing_stem AS filing_stem, c.chunk_index AS chunk_index FROM (SELECT request_id, value, unnest(citations) AS c FROM ask_responses WHERE value IS NOT NULL))

@@ -216,6 +216,46 @@ def test_prompt_and_citations(spark):
     assert (body.value, body.value_status, body.citations[0].text) == (5.0, "ok", "first")
 
 
+def test_archive_source(spark, tmp_path):
+    from quarry.sources.edgar import Archive
+
+    put(tmp_path / "CIK0000000007.json", "{}")
+    spark.dataSource.register(Archive)
+    read = spark.read.format("archive").option("interval", "0").option("names", "CIK0000000007.json, none.json")
+    rows = read.option("contact", "me@example.org").load(f"file://{tmp_path}").collect()
+    assert [(r.name, r.status, r.body and bytes(r.body)) for r in rows] == [("CIK0000000007.json", 200, b"{}"), ("none.json", None, None)]
+    with pytest.raises(PySparkException):
+        spark.read.format("archive").load(f"file://{tmp_path}").collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    put(tmp_path / "html/V_2015_1.html", "<h2>Item 7</h2><p>Net revenue rose.</p><table><tr><td>a</td><td>1</td></tr></table>")
+    out = str(tmp_path / "out")
+    assert main(["corpus", "--html", str(tmp_path / "html"), "--out", out]) == 0
+    assert main(["corpus", "--out", out, "--rechunk"]) == 0
+    assert spark.read.parquet(f"{out}/chunks").first().heading == "Item 7" and spark.read.json(f"{out}/log").first().n_tables == 1
+    for n in (1, 0):
+        assert main(["index", "--chunks", f"{out}/chunks", "--table", f"{out}/table", "--terms", f"{out}/terms"]) == 0
+        assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"appended": n}
+    assert retrieval.Bm25Index.read(spark, f"{out}/terms").n == 1
+    new = str(tmp_path / "new")
+    spark.createDataFrame([("dev", "q", "V_2015_1", [3])], "split string, id string, row_key string, gold array<int>").write.parquet(new)
+    common = ["--new", new, "--path", f"{out}/gold", "--fingerprint", "x"]
+    assert main(["labels", "build", *common]) == 0 and main(["labels", "check", *common]) == 0
+    scores = put(tmp_path / "s.jsonl", '{"id":"q","split":"dev","cells":{"a":[["V_2015_1",4,0.1],["V_2015_1",3,0.9]]}}\n')
+    assert main(["evaluate", "--scores", scores, "--cell", "a", "--gold", f"{out}/gold", "--out", str(tmp_path / "report")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["mrr_mean"] == 1.0
+
+
+def test_word_list_problems(spark):
+    from quarry.operators.corpus import word_list_problems
+
+    words = spark.createDataFrame([("visa",), ("visa",), ("apple",)], "word string")
+    assert word_list_problems(words, 2, ("visa",)) == [] and word_list_problems(words, 3, ("gap",)) == ["2 words, 3 expected", "no 'gap'"]
+
+
 def test_core_does_not_need_the_subpackage():
     import ast
     from pathlib import Path
