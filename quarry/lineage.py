@@ -31,3 +31,12 @@ def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
     n = cores(df.sparkSession)
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(n) if n > 1 and size < n * least else df
+
+
+def sent_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, written to the checkpoint folder, with a broadcast hint if it has at most `most` rows; a larger one is joined by a
+    shuffle. The rows are counted, not estimated, so that a growing side never reaches the driver."""
+    from pyspark.sql import functions as F
+
+    made = cut(df)
+    return F.broadcast(made) if made.limit(most + 1).count() <= most else made

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.lineage import sent_if_small
+
 CHUNKS = "filing_stem STRING NOT NULL, chunk_index INT NOT NULL, heading STRING, n_tokens INT, text STRING NOT NULL, embedding ARRAY<FLOAT>, variant STRING NOT NULL"
 CHUNK_FILE = "text STRING, n_tokens INT, heading STRING"
 BLOCKS = "text STRING, is_title BOOLEAN, rows ARRAY<ARRAY<STRING>>"
@@ -19,6 +21,9 @@ ANSWER = "struct<value:double,status:string>"
 #: Retrieval depths, fusion and filter constants (fixed values).
 POOL, READ_DEPTH, RRF_K, YEAR_BIAS, VARIANT, TOP_K, MAX_K = 50, 200, 60, 0.01, "A", 10, 50
 
+#: Ids of replaced rows that are broadcast, at most (16 MB).
+SENT_IDS = 2_000_000
+
 
 def stem_parts(stem: Column) -> dict[str, Column]:
     """ticker, fiscal_year and cik of a TICKER_YEAR_CIK key; malformed parts are null."""
@@ -35,11 +40,14 @@ def filing_stem(symbol: Column, year: Column, cik: Column) -> Column:
 
 
 def current(chunks: DataFrame) -> DataFrame:
-    """One row per (filing_stem, chunk_index, variant): the one loaded last, the larger id on a tie. The choice is
-    made on narrow rows; texts and vectors move only in the semi join on id."""
-    last = F.max_by("id", F.struct(F.col("ingested_at"), F.col("id"))).alias("id")
-    keep = chunks.groupBy("filing_stem", "chunk_index", "variant").agg(last).select("id")
-    return chunks.join(keep, "id", "left_semi")
+    """One row per (filing_stem, chunk_index, variant): the one loaded last, the larger id on a tie. Replaced rows are found on
+    narrow columns and taken out by id; they are few as a rule, and then texts and vectors are not shuffled."""
+    keys = ["filing_stem", "chunk_index", "variant"]
+    last = F.max_by("id", F.struct(F.col("ingested_at"), F.col("id"))).alias("last")
+    many = chunks.groupBy(*keys).agg(last, F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(k).alias(f"{k}_") for k in keys), "last")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    replaced = chunks.select(*keys, "id").join(many, same).where("id <> last").select("id")
+    return chunks.join(sent_if_small(replaced, SENT_IDS), "id", "left_anti")
 
 
 def served(chunks: DataFrame, variant: str = VARIANT) -> DataFrame:
