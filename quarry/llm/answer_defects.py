@@ -37,6 +37,8 @@ FUNCTION_WORDS = {
 }
 _WORDS_OF = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _SCRIPTS = {"ru": re.compile("[Ѐ-ӿ]"), "el": re.compile("[Ͱ-Ͽ]"), "zh": re.compile("[぀-ヿ一-鿿]"), "ar": re.compile("[؀-ۿ]"), "hi": re.compile("[ऀ-ॿ]")}
+#: Product of word counts beyond which tiles are found through word pairs.
+LONG_PAIR = 1_000_000
 #: Labels before a copy or an answer.
 _LABEL = re.compile(r"^\W*(?:(?:final\s+)?answer|response|question|q|a|you asked|here is the question again|the question (?:was|is)|prompt|antwort|frage|réponse|question posée|respuesta|pregunta)\s*:\s*", re.I)
 _ANSWER_LINE = re.compile(r"(?im)^[ \t>*_#-]*(?:final\s+)?answer[*_ \t]*:[ \t]*(.*)$")
@@ -85,6 +87,14 @@ def tiling(answer: list[str], question: list[str], least: int = 2) -> tuple[floa
     """Shares of the answer's and of the question's words that lie in common runs of at least `least` words,
     the longest runs taken first; a run of the question may be repeated."""
     taken, used = [False] * len(answer), [False] * len(question)
+    if least == 2 and len(answer) * len(question) > LONG_PAIR:
+        # as runs may repeat, the tiles cover just the words of common pairs: found so, the time is linear
+        for mine, other, mark in ((answer, question, taken), (question, answer, used)):
+            common = set(zip(other, other[1:]))
+            for k, pair in enumerate(zip(mine, mine[1:])):
+                if pair in common:
+                    mark[k] = mark[k + 1] = True
+        return sum(taken) / len(answer), sum(used) / len(question)
     places: dict[str, list[int]] = {}
     for j, w in enumerate(question):
         places.setdefault(w, []).append(j)

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ class Names:
         return first[0] if best >= 0.5 and len(first) == 1 else None
 
 
+@lru_cache(maxsize=1 << 18)
 def likeness(typed: str, word: str) -> float:
     """How well a typed word stands for a word of a name."""
     if typed == word:

@@ -9,7 +9,7 @@ and are measured exactly on the full vectors.
 
 Usable vectors have `size` finite numbers that are not all zero; others give no row. Equal vectors form one
 class and are hashed once; the smallest ids stand for it. Cosines are rounded to 6 decimals, ties go to the
-smaller id, and a row with fewer than k partners keeps those it has.
+smaller id, and a row with fewer than k partners keeps those it has. Repeated rows of an id count once.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def _windows(hashed: DataFrame, size: int, k: int, least: float) -> DataFrame:
                 p, q = np.nonzero(cos >= least - SLACK)
                 score = cos[p, q]
                 p, q = p + i, q + i
-                ok = (q > p) & (q - p <= REACH) & (trees[p] == trees[q])
+                ok = (q > p) & (q - p <= REACH) & (trees[p] == trees[q]) & (ids[p] != ids[q])
                 p, q, score = p[ok], q[ok], score[ok]
                 if len(p) > keep * (hi - i):  # dense: each row keeps its best
                     chosen = np.zeros(len(p), bool)
@@ -121,9 +121,11 @@ def _windows(hashed: DataFrame, size: int, k: int, least: float) -> DataFrame:
     return arrays.select("id", "q", "tree").mapInArrow(run, "id_a long, id_b long").distinct()
 
 
-def _measured(pairs: DataFrame, reps: DataFrame, size: int, least: float) -> DataFrame:
+def _measured(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
     """(id_a, id_b, cosine) of the pairs that reach the least similarity on the full vectors."""
-    both = pairs.join(reps.withColumnsRenamed({"id": "id_a", "v": "x"}), "id_a").join(reps.withColumnsRenamed({"id": "id_b", "v": "y"}), "id_b")
+    ends = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
+    own = cut(rows.join(ends, "id", "left_semi").select("id", "v").dropDuplicates(["id"]))  # vectors without a candidate move no further
+    both = pairs.join(own.withColumnsRenamed({"id": "id_a", "v": "x"}), "id_a").join(own.withColumnsRenamed({"id": "id_b", "v": "y"}), "id_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +141,15 @@ def _measured(pairs: DataFrame, reps: DataFrame, size: int, least: float) -> Dat
 def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", size: int = 64, k: int = 5, least: float = 0.9) -> DataFrame:
     """(id, other, cosine, rank): the k most similar rows, of at least the similarity, of every usable row."""
     rows = usable(df, key, vector, size)
-    # -0.0 and 0.0 are one number
-    keyed = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
-    classes = keyed.groupBy("v").agg(F.min("id").alias("rep"))
-    member = cut(keyed.join(classes, "v").select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("v")).alias("v")))
-    reps = member.where("v is not null").select("id", "v")
-    hashed = cut(_hash(reps, size))
+    # -0.0 and 0.0 are one number; 128-bit hashes stand for vectors, so that classes are found on narrow rows
+    same = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
+    keyed = rows.select("id", F.xxhash64(same).alias("h1"), F.xxhash64(F.lit(1), same).alias("h2")).distinct()
+    classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    member = cut(keyed.join(classes, ["h1", "h2"]).select("id", "rep"))
+    copies = member.where("id <> rep").select("id")
+    hashed = cut(_hash(rows.join(copies, "id", "left_anti"), size))
     pairs = cut(_windows(hashed, size, k, least))
-    close = _measured(pairs, reps, size, least)
+    close = _measured(pairs, rows, size, least)
     both = close.unionByName(close.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "cosine"))
 
     # the k + 1 smallest ids of a class stand for it: no row needs more of them

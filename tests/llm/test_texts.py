@@ -144,6 +144,17 @@ def test_defects(question, answer, kind):
     assert ad.defect(question, answer) == kind
 
 
+def test_tiling_of_long_texts_is_the_same(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(30):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(2, 40))] for _ in range(2))
+        want = ad.tiling(a, b)
+        monkeypatch.setattr(ad, "LONG_PAIR", 0)
+        assert ad.tiling(a, b) == want
+        monkeypatch.undo()
+    assert ad.defect("x " * 200_000, "x " * 200_000) == "copied"
+
+
 def test_defects_by_request(spark):
     rows = [(1, "q of it?", None), (1, "q of it?", None), (2, "What is it?", "It is 5.1 million, and"), (3, "What is it?", "It is 5.1 million."), (2, "What is it?", "What is it?")]
     got = ad.defects(spark.createDataFrame(rows, "request_id long, question string, answer string")).collect()
