@@ -91,7 +91,7 @@ def rrf_fuse_years(spark, d):
 @query
 def year_text_list(spark, d):
     asked, chunks = _asked(spark, d), _chunks(spark, d)
-    return retrieval.year_text(retrieval.texts(retrieval.fuse(_two_lists(asked, chunks), asked), chunks), asked)
+    return retrieval.year_text(retrieval.fuse(_two_lists(asked, chunks), asked), chunks, asked)
 
 
 @query

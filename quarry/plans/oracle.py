@@ -178,6 +178,8 @@ v AS (SELECT *, try_cast(regexp_replace(num, '[,$%]', '', 'g') AS DOUBLE) AS f F
 SELECT request_id, CASE WHEN NOT has THEN NULL WHEN num <> '' THEN f WHEN w IN ({_TRUE}) THEN 1.0 WHEN w IN ({_FALSE}) THEN 0.0 END AS value,
 CASE WHEN answer IS NULL OR NOT regexp_matches(answer, '\S') THEN 'empty' WHEN NOT has THEN 'no_answer_line' WHEN num <> '' AND f IS NOT NULL THEN 'ok' WHEN num <> '' THEN 'no_number' WHEN w IN ({_TRUE}, {_FALSE}) THEN 'ok'
   WHEN regexp_matches(b, '(?i)insufficient|cannot|not (?:provided|available|stated|found)|unknown') THEN 'refused' ELSE 'no_number' END AS status FROM v""",
+        "answer_headline": r"""SELECT DISTINCT request_id, CASE WHEN l <> '' THEN l ELSE split_part(trim(answer), chr(10), 1) END AS headline FROM (SELECT request_id, answer, regexp_extract(answer, '(?im)^[^A-Za-z0-9_]*ANSWER\s*:\s*(.+?)[^A-Za-z0-9_]*$', 1) AS l FROM ask_responses WHERE answer IS NOT NULL)""",
+        "label_row_key": "SELECT DISTINCT id, context_id, left(sha256(to_json([id, context_id, context])), 12) AS row_key FROM questions WHERE id IS NOT NULL",
         "evidence_text": _with(CUR, _RESULTS, _EVID) + "SELECT query_id, md5(evidence) AS evidence_md5, length(evidence) AS n_chars FROM ev",
         "prompts": _with(CUR, "asked AS (SELECT DISTINCT request_id AS query_id, question FROM ask_requests WHERE question IS NOT NULL)", _RESULTS, _EVID) + f"SELECT query_id, md5(p) AS prompt_md5, length(p) AS n_chars FROM (SELECT query_id, '{head}' || question || '{middle}' || evidence || '{tail}' AS p FROM asked JOIN ev USING (query_id))",
         "citation_texts": _with(CUR, _RESULTS) + "SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) - 1 AS pos, filing_stem, chunk_index, CASE WHEN w.wants THEN text END AS text FROM res r JOIN (SELECT request_id AS query_id, bool_or(include_text) AS wants FROM ask_requests GROUP BY 1) w ON w.query_id = r.query_id",
