@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.base import n_tokens
+from quarry.llm.base import cut, n_tokens
 
 #: Items per pattern at most, in the enumeration.
 LARGEST_PATTERN = 5
@@ -132,6 +132,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[i
 def items(atoms: DataFrame, capacity: int) -> DataFrame:
     """(grp, item_id, n, whole, part): each item once, with its length, the whole containers it fills and
     the length that is left to pack (null when none)."""
+    atoms = atoms.select("filing_stem", "atom_id", "tokens", "text")
     n = F.greatest(F.coalesce(F.col("tokens").cast("long"), n_tokens("text").cast("long")), F.lit(0))
     one = atoms.select(F.col("filing_stem").alias("grp"), F.col("atom_id").alias("item_id"), n.alias("n")).distinct()
     whole = F.when(F.col("n") > capacity, F.floor(F.col("n") / capacity)).otherwise(0).cast("long")
@@ -155,7 +156,7 @@ def pack(atoms: DataFrame, capacity: int = 1500) -> DataFrame:
     (the pieces before the last hold capacity tokens each), with its container, numbered from 0."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    one = items(atoms, capacity)
+    one = cut(items(atoms, capacity))  # read five times below
     packed = one.where(F.col("part").isNotNull())
     histogram = packed.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("items"))
 
@@ -166,7 +167,7 @@ def pack(atoms: DataFrame, capacity: int = 1500) -> DataFrame:
         out.insert(0, "grp", pdf["grp"].iloc[0])
         return out
 
-    plans = histogram.groupBy("grp").applyInPandas(solve, "grp string, part int, low long, high long, base long, each long")
+    plans = cut(histogram.groupBy("grp").applyInPandas(solve, "grp string, part int, low long, high long, base long, each long"))
     ranked = _ranked(packed)
     fits = ranked.grp.eqNullSafe(plans.grp) & (ranked.part == plans.part) & (ranked.r >= plans.low) & (ranked.r <= plans.high)
     container = plans.base + F.floor((ranked.r - plans.low) / plans.each)
