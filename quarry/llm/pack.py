@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.base import cut, n_tokens
+from quarry.llm.base import cores, cut, n_tokens
 
 #: Items per pattern at most, in the enumeration.
 LARGEST_PATTERN = 5
@@ -167,7 +167,9 @@ def pack(atoms: DataFrame, capacity: int = 1500) -> DataFrame:
         out.insert(0, "grp", pdf["grp"].iloc[0])
         return out
 
-    plans = cut(histogram.groupBy("grp").applyInPandas(solve, "grp string, part int, low long, high long, base long, each long"))
+    # histograms are few bytes but much work: groups are spread over the cores, not by their size
+    spread_out = histogram.repartition(4 * cores(atoms.sparkSession), "grp")
+    plans = cut(spread_out.groupBy("grp").applyInPandas(solve, "grp string, part int, low long, high long, base long, each long"))
     ranked = _ranked(packed)
     fits = ranked.grp.eqNullSafe(plans.grp) & (ranked.part == plans.part) & (ranked.r >= plans.low) & (ranked.r <= plans.high)
     container = plans.base + F.floor((ranked.r - plans.low) / plans.each)
