@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.base import cores
+
 #: Pivots, and parts of a cell (by hash), so that no cell fills a task.
 PIVOTS, PARTS = 16, 8
 #: Longest string that is compared; longer ones join nothing.
@@ -114,4 +116,7 @@ def radius_join(strings: DataFrame, forms: list[tuple[str, int]]) -> DataFrame:
                 out += [(strings[i], form, int(x)) for i, x in zip(rows[dist <= r], dist[dist <= r])]
         return pd.DataFrame(out, columns=["name", "form", "distance"])
 
+    # cells are few bytes but much work: both sides are spread over the cores, not by their size
+    tasks = 4 * cores(spark)
+    left, right = left.repartition(tasks, "cell", "part"), right.repartition(tasks, "cell", "part")
     return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(join, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import spread
+from quarry.llm.base import cores, spread
 from quarry.llm.metric_names import LONGEST, coded, levenshtein, radius_join
 
 #: Words of legal forms (fixed values).
@@ -185,4 +185,4 @@ def named(requests: DataFrame, names: Names, out: str = "company_cik") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())], names=["request_id", out])
 
     # questions with capitals may name by symbol alone: they come a second time, without hits
-    return hits.unionByName(letters).mapInArrow(judge, f"request_id long, {out} long").distinct()
+    return hits.unionByName(letters).repartition(4 * cores(spark)).mapInArrow(judge, f"request_id long, {out} long").distinct()
