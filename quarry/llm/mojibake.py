@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import cores, cut, mix64, spread
+from quarry.llm.base import cores, cut, mix64, sent_if_small, spread
 
 #: Encodings in which UTF-8 bytes are read by mistake (fixed values: codec names).
 READ_FOR_UTF8 = ["latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "koi8_r", "cp866"]
@@ -57,6 +57,8 @@ REACHED = 0.5
 WEIGHT, PRIOR = 20.0, 1e-3
 #: Nats by which a record's own chain is trusted beyond the character model, in its repair.
 TRUST = 8.0
+#: Sources whose shares of chains are broadcast, at most (about 20 MB); more meet the tokens by a shuffle.
+SENT_SOURCES = 20_000
 #: Tokens longer than this are read in parts.
 LONGEST = 400
 
@@ -269,7 +271,7 @@ def _with_shares(tokens: DataFrame, shares: DataFrame | None) -> DataFrame:
     empty = F.lit(None).cast("array<struct<chain:int,share:double>>")
     if shares is None:
         return tokens.withColumn("shares", empty)
-    return tokens.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return tokens.join(sent_if_small(shares.withColumnRenamed("source", "s"), SENT_SOURCES), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def _shares(parts: DataFrame) -> DataFrame:
