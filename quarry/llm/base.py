@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quarry.lineage import cores, cut, sent_if_small, spread  # noqa: F401
 
 #: Characters that separate tokens in the token counts (fixed values).
-TOKEN_SEPARATORS = " \t\r\n "
+TOKEN_SEPARATORS = " \t\r\n\u00a0"
 TOKEN_RE = re.compile(f"[^{TOKEN_SEPARATORS}]+")
-TOKEN_JAVA = r"[^ \t\r\n ]+"
+TOKEN_JAVA = r"[^ \t\r\n\u00a0]+"
 WORD_RE = re.compile("[a-z0-9]+")
 
 
