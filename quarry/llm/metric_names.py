@@ -100,7 +100,9 @@ def radius_join(strings: DataFrame, forms: list[tuple[str, int]]) -> DataFrame:
     rows = [(int(c), part, f, radius[f], int(d[i, c])) for i, f in enumerate(names) for c in range(len(pivots)) if d[i, c] <= near[i] + 2 * radius[f] for part in range(PARTS)]
     right = spark.createDataFrame(rows, "cell int, part int, form string, radius int, form_to_pivot int")
     short = strings.select("name").where(F.length("name").between(1, LONGEST)).distinct()
-    left = short.mapInArrow(assign, "name string, cell int, to_pivot int").withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
+    # names and cells are few bytes but much work: they are spread over the cores, not by their size
+    tasks = 4 * cores(spark)
+    left = short.repartition(tasks).mapInArrow(assign, "name string, cell int, to_pivot int").withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
 
     def join(names: pd.DataFrame, forms: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -116,7 +118,5 @@ def radius_join(strings: DataFrame, forms: list[tuple[str, int]]) -> DataFrame:
                 out += [(strings[i], form, int(x)) for i, x in zip(rows[dist <= r], dist[dist <= r])]
         return pd.DataFrame(out, columns=["name", "form", "distance"])
 
-    # cells are few bytes but much work: both sides are spread over the cores, not by their size
-    tasks = 4 * cores(spark)
     left, right = left.repartition(tasks, "cell", "part"), right.repartition(tasks, "cell", "part")
     return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(join, schema)

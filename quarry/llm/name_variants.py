@@ -162,7 +162,7 @@ def named(requests: DataFrame, names: Names, out: str = "company_cik") -> DataFr
     """(request_id, out) of every company that a request's question names."""
     spark = requests.sparkSession
     sent = spark.sparkContext.broadcast(names)
-    asked = requests.select("request_id", "question").where(F.col("question").isNotNull()).distinct()
+    asked = requests.select("request_id", "question").where(F.col("question").isNotNull()).distinct().withColumn("q", F.xxhash64("question"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +170,12 @@ def named(requests: DataFrame, names: Names, out: str = "company_cik") -> DataFr
             size = np.fromiter(map(len, all_), np.int64, count=len(all_))
             flat = [x for c in all_ for x in c]
             index = pa.array(np.repeat(np.arange(len(all_)), size))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *(pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["request_id", "question", "at", "n", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(2).take(index), *(pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string())))], names=["request_id", "q", "at", "n", "name"])
 
-    each = spread(asked).mapInArrow(split, "request_id long, question string, at int, n int, name string")
+    each = spread(asked).mapInArrow(split, "request_id long, q long, at int, n int, name string")
     pairs = radius_join(each.select("name"), names.forms())
-    hits = each.join(pairs, "name").groupBy("request_id", "question").agg(F.collect_list(F.struct("at", "n", "form", "distance")).alias("hits"))
+    hits = each.join(pairs, "name").groupBy("request_id", "q").agg(F.collect_list(F.struct("at", "n", "form", "distance")).alias("hits"))
+    hits = asked.join(hits, ["request_id", "q"]).select("request_id", "question", "hits")
     letters = asked.where(F.col("question").rlike(r"[A-Z]{2}|[A-Z]\.")).select("request_id", "question", F.array().cast("array<struct<at:int,n:int,form:string,distance:int>>").alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
