@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.base import cut
+from quarry.llm.base import cut, sent_if_small
 
 TREES, DEPTH = 16, 63
 REACH = 512
+#: Ids that are broadcast to vectors, at most (about 30 MB); more meet them by a shuffle.
+SENT_IDS = 1_000_000
 #: Cosine that the 8-bit vectors may be off.
 SLACK = 0.01
 #: Candidates of a row kept by one tree: the k best, as measured on 8 bits, and some more for its error.
@@ -124,7 +126,7 @@ def _windows(hashed: DataFrame, size: int, k: int, least: float) -> DataFrame:
 def _measured(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
     """(id_a, id_b, cosine) of the pairs that reach the least similarity on the full vectors."""
     ends = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    own = cut(rows.join(ends, "id", "left_semi").select("id", "v").dropDuplicates(["id"]))  # vectors without a candidate move no further
+    own = cut(rows.join(sent_if_small(ends, SENT_IDS), "id", "left_semi").select("id", "v").dropDuplicates(["id"]))  # vectors without a candidate move no further
     both = pairs.join(own.withColumnsRenamed({"id": "id_a", "v": "x"}), "id_a").join(own.withColumnsRenamed({"id": "id_b", "v": "y"}), "id_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", size: int
     keyed = rows.select("id", F.xxhash64(same).alias("h1"), F.xxhash64(F.lit(1), same).alias("h2")).distinct()
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     member = cut(keyed.join(classes, ["h1", "h2"]).select("id", "rep"))
-    copies = member.where("id <> rep").select("id")
+    copies = sent_if_small(member.where("id <> rep").select("id"), SENT_IDS)
     hashed = cut(_hash(rows.join(copies, "id", "left_anti"), size))
     pairs = cut(_windows(hashed, size, k, least))
     close = _measured(pairs, rows, size, least)
