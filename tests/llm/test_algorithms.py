@@ -123,6 +123,24 @@ def test_nearest_equals_brute_force(spark):
     assert len(set(got) - want) <= 0.02 * len(want)
 
 
+def test_nearest_in_a_dense_group_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    n = 12_000
+    x = np.concatenate([rng.standard_normal(64) + rng.standard_normal((n - 2000, 64)) * 0.25, rng.standard_normal((2000, 64))]).astype(np.float32)
+    x[1:400:4] = x[0:399:4] * 2  # equal directions of another length
+    got = {}
+    for r in nn_forest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")).collect():
+        got.setdefault(r.id, {})[r.other] = r.cosine
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for i in range(0, n, 7):
+        cos = np.round(u @ u[i], 6)
+        cos[i] = -1
+        best = [int(j) for j in np.lexsort((np.arange(n), -cos))[:5] if cos[j] >= 0.9]
+        assert list(got.get(i, {})) == best
+    assert len(got) >= n - 2000
+
+
 # ---- names
 
 
