@@ -99,6 +99,18 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert {(a, b) for a in ids for b in ids if a < b and groups[a] == groups[b]} == {(a, b) for a in ids for b in ids if a < b and find(a) == find(b)}
 
 
+def test_pairs_at_exactly_the_least_similarity(spark):
+    """45 shingles each, 40 in common: 40 / 50 is 0.8. Rows of one base make buckets under and over 8 rows."""
+    docs, base = [], 0
+    for base, many in enumerate([2] * 30 + [12] * 6):
+        words = [f"b{base}x{k}" for k in range(44)]
+        docs += [(100 * base + i, " ".join([*(f"b{base}y{i}z{k}" for k in range(5)), *words])) for i in range(many)]
+    links, members = near_dupes.near_duplicates(spark.createDataFrame(docs, "id long, text string"))
+    got = {tuple(r) for r in near_dupes.row_pairs(links, members).collect()}
+    assert got == {(a, b) for a, _ in docs for b, _ in docs if a < b and a // 100 == b // 100}
+    assert {(r.id, r.group_id) for r in near_dupes.groups(links, members).collect()} == {(a, a // 100 * 100) for a, _ in docs}
+
+
 # ---- nearest vectors
 
 
