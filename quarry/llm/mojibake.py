@@ -59,8 +59,8 @@ WEIGHT, PRIOR = 20.0, 1e-3
 TRUST = 8.0
 #: Sources whose shares of chains are broadcast, at most (about 20 MB); more meet the tokens by a shuffle.
 SENT_SOURCES = 20_000
-#: Tokens longer than this are read in parts.
-LONGEST = 400
+#: Tokens longer than this are read in parts, which overlap by so many characters that a sequence lies whole in one.
+LONGEST, OVERLAP = 400, 32
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 TOKEN_JAVA = r"[^ \t\r\n\f]*[^\x00-\x7f \t\r\n\f][^ \t\r\n\f]*"
@@ -117,14 +117,13 @@ def inverse(token: str, chain: tuple[str, str, int]) -> str | None:
 
 
 def readings(token: str) -> list[tuple[int, str]]:
-    """(chain, meant) of the chains that change the token, each result under its first chain. Single-byte
-    chains need two characters beyond ASCII, since one tells nothing."""
+    """(chain, meant) of the chains that change the token, each result under its first chain. One character
+    beyond ASCII tells little by itself; the sum over a record decides."""
     if LOST_CHAR in token:
         return [(LOST, token)]
     out, seen = [], {token}
-    many = sum(c > "\x7f" for c in token) > 1
     for k, chain in enumerate(CHAINS):
-        if (chain[0] == "utf-8" or many) and (x := inverse(token, chain)) is not None and x not in seen:
+        if (x := inverse(token, chain)) is not None and x not in seen:
             seen.add(x)
             out.append((k, x))
     return out
@@ -286,7 +285,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """(id, chain, posterior) of the records found garbled, and the character model."""
     d = spread(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"))).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     found = F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, r'{TOKEN_JAVA}', 0)"))).alias("token")
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / LONGEST).cast("int")), lambda i: F.substring("token", i * LONGEST + 1, F.lit(LONGEST)))).alias("token")
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / LONGEST).cast("int")), lambda i: F.substring("token", i * LONGEST + 1, F.lit(LONGEST + OVERLAP)))).alias("token")
     each = cut(d.select("id", "source", found).select("id", "source", part).distinct())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

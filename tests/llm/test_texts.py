@@ -232,3 +232,23 @@ def test_found_and_restored(spark):
     assert set(out) == set(want) | {1003}
     assert not out[1003].whole and all(out[i].whole for i in want)
     assert sum(out[i].restored == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_single_byte_garbling_of_words_with_one_accent(spark):
+    rng = random.Random(6)
+    words = "für über größer Löhne Verträge erhöht Prüfung Erträge Zölle Käufe Märkte Rückgang wir und die Bank".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(40)), f"s{i % 3}") for i in range(300)]
+    want = {i: docs[i][1] for i in range(0, 30, 3)}
+    for i, text in want.items():
+        docs[i] = (i, text.encode("cp1252").decode("mac_roman"), docs[i][2])
+    judged, model = mojibake.judge(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    out = {r.doc_id: r for r in mojibake.restored(spark.createDataFrame(docs, "doc_id long, text string, source string"), judged, model).collect()}
+    assert set(out) == set(want)
+    assert all(out[i].restored == text for i, text in want.items())
+
+
+def test_sequence_across_the_parts_of_a_long_token(spark):
+    docs = [(i, "für größere Löhne über Verträge", "s") for i in range(200)]
+    docs += [(900, "a" * (mojibake.LONGEST - 2) + "fÃ¼r", "s"), (901, "fÃ¼r grÃ¶ÃŸere LÃ¶hne", "s")]
+    judged, _ = mojibake.judge(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert {r.id for r in judged.collect()} == {900, 901}
