@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,31 @@ def strings(column) -> list:
     return column.to_pylist()
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows that are equal in the first `keys` columns (numbers), of rows sorted by these, with the
+    edges of the runs. What is held is a batch and the run that goes on in it."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if batch.num_rows:
+                held.append(batch)
+            if not held or sum(b.num_rows for b in held) < 2 * held[0].num_rows and len(held) > 1:
+                continue  # a run over many batches is looked at again when it has doubled
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([t.column(k).to_numpy() for k in range(keys)], axis=1)
+        edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+        if batch is None:
+            yield t, edges
+            return
+        if len(edges) > 2:
+            yield t.slice(0, int(edges[-2])), edges[:-1]
+            held = t.slice(int(edges[-2])).to_batches()
+        else:
+            held = t.to_batches()
+
+
 def list_array(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])

@@ -2,10 +2,14 @@
 
 Each string is assigned to its nearest pivot. A form within distance r of a string of the pivot's cell lies at
 most 2 r further from that pivot than from its own nearest one (triangle inequality, twice), so a form is
-replicated to just these cells, and the exact radius join runs inside each cell. There a form is compared only
-with strings whose distance from the pivot differs by at most r (triangle inequality again) and whose letter
-counts differ by at most 2 r (an edit changes two counts at most); what is left is measured by the Levenshtein
-distance, a true metric. Distances are computed for many strings at once.
+replicated to just these cells. A cell is divided into rings of equal distance from the pivot, and a form goes to
+the rings whose distance differs from its own by at most r (triangle inequality again). Rings are counted, and one
+with many strings or forms is cut into parts by hash, each pair of parts being compared on its own, so that a task
+holds a bounded number of either however large both sides are. Inside a part letter sets and letter counts, in which
+an edit changes two at most, leave few pairs, and these are measured by the Levenshtein distance, a true metric.
+
+Pivots are chosen from at most SAMPLE forms; the join is exact whichever they are. Strings longer than every form by
+more than the radius can be within none and are left out. Nulls and empty strings join nothing.
 """
 
 from __future__ import annotations
@@ -13,48 +17,81 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import cores
+from quarry.llm.base import cores, cut, whole_runs
 
-#: Pivots, and parts of a cell (by hash), so that no cell fills a task.
-PIVOTS, PARTS = 16, 8
-#: Longest string that is compared; longer ones join nothing.
-LONGEST = 64
+#: Pivots, and forms among which they are chosen.
+PIVOTS, SAMPLE = 24, 2000
+#: Strings and forms of a ring that are compared in one part, at most on average.
+MANY_NAMES, MANY_FORMS = 8192, 4096
+#: Cells of a distance table that are computed at once, and pairs measured at once.
+TABLE, PAIRS = 1 << 21, 1 << 16
 
 
 def coded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of up to LONGEST characters as rows of code points, and their lengths."""
+    """Strings as rows of code points, padded with zeros, and their lengths."""
     sizes = np.fromiter(map(len, strings), np.int64, count=len(strings))
-    codes = np.zeros((len(strings), LONGEST), np.int32)
+    codes = np.zeros((len(strings), int(sizes.max(initial=0))), np.int32)
     for i, s in enumerate(strings):
-        codes[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.int32)
+        codes[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
     return codes, sizes
 
 
+def _next_row(row: np.ndarray, differs: np.ndarray, i: int, steps: np.ndarray) -> np.ndarray:
+    """Row i of the distance tables: replaced or deleted first, then insertions as a running minimum."""
+    new = np.empty_like(row)
+    new[:, 0] = i
+    np.minimum(row[:, :-1] + differs, row[:, 1:] + 1, out=new[:, 1:])
+    new -= steps
+    np.minimum.accumulate(new, axis=1, out=new)
+    new += steps
+    return new
+
+
 def levenshtein(codes: np.ndarray, sizes: np.ndarray, form: str) -> np.ndarray:
     """Edit distance of each coded string to a form."""
-    if not len(codes):
-        return np.zeros(0, np.int64)
-    width = int(sizes.max())
-    row = np.tile(np.arange(width + 1), (len(codes), 1))
+    steps = np.arange(codes.shape[1] + 1, dtype=np.int32)
+    row = np.tile(steps, (len(codes), 1))
     for i, c in enumerate(map(ord, form), 1):
-        new = np.empty_like(row)
-        new[:, 0] = i
-        cost = row[:, :-1] + (codes[:, :width] != c)
-        down = np.minimum(cost, row[:, 1:] + 1)
-        for j in range(1, width + 1):
-            new[:, j] = np.minimum(down[:, j - 1], new[:, j - 1] + 1)
-        row = new
+        row = _next_row(row, codes != c, i, steps)
     return row[np.arange(len(codes)), sizes]
 
 
+def distances(strings: list[str], forms: list[str]) -> np.ndarray:
+    """Edit distances, strings x forms; strings of like lengths at once, so that padding stays small."""
+    size = np.fromiter(map(len, strings), np.int64, count=len(strings))
+    out = np.zeros((len(strings), len(forms)), np.int32)
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        width = int(size[order[at]]) * 5 // 4 + 2
+        end = min(int(np.searchsorted(size[order], width, "right")), at + max(1, TABLE // (width + 1)))
+        rows = order[at:end]
+        codes, sizes = coded([strings[i] for i in rows])
+        for k, f in enumerate(forms):
+            out[rows, k] = levenshtein(codes, sizes, f)
+        at = end
+    return out
+
+
+def pair_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distance of a[i] and b[i], for all i at once."""
+    codes, sizes = coded(a)
+    other, lengths = coded(b)
+    steps = np.arange(codes.shape[1] + 1, dtype=np.int32)
+    row, out, at = np.tile(steps, (len(a), 1)), sizes.astype(np.int32), np.arange(len(a))
+    for i in range(1, other.shape[1] + 1):
+        row = _next_row(row, codes != other[:, i - 1 : i], i, steps)
+        ends = lengths == i
+        out[ends] = row[at[ends], sizes[ends]]
+    return out
+
+
 def letters(codes: np.ndarray) -> np.ndarray:
     """Counts of characters by their code modulo 32."""
-    out = np.zeros((len(codes), 32), np.int16)
+    out = np.zeros((len(codes), 32), np.int32)
     for j in range(codes.shape[1]):
         used = codes[:, j] > 0
         out[np.flatnonzero(used), codes[used, j] % 32] += 1
@@ -62,61 +99,97 @@ def letters(codes: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(forms: list[str], n: int = PIVOTS) -> list[str]:
-    """Forms far from each other, greedily; the forms are the reference side, of a bounded size."""
+    """Forms far from each other, greedily."""
     forms = sorted(set(forms))
     if not forms:
         return []
-    codes, sizes = coded(forms)
     pivots = [forms[0]]
-    least = levenshtein(codes, sizes, pivots[0])
+    least = distances(forms, pivots)[:, 0]
     while len(pivots) < min(n, len(forms)) and least.max() > 0:
         pivots.append(forms[int(least.argmax())])
-        least = np.minimum(least, levenshtein(codes, sizes, pivots[-1]))
+        least = np.minimum(least, distances(forms, pivots[-1:])[:, 0])
     return pivots
 
 
-def radius_join(strings: DataFrame, forms: list[tuple[str, int]]) -> DataFrame:
-    """(name, form, distance): the distinct strings `name` within each form's radius, forms as (form, radius)."""
+def within(names: list[str], forms: list[str], radius: np.ndarray) -> list[tuple[str, str, int]]:
+    """(name, form, distance) of all pairs within the forms' radii."""
+    (codes, sizes), (form_codes, form_sizes) = coded(names), coded(forms)
+    bags, form_bags = letters(codes), letters(form_codes)
+    bit = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    masks, form_masks = ((b > 0).astype(np.uint32) @ bit for b in (bags, form_bags))
+    out: list[tuple[str, str, int]] = []
+    for low in range(0, len(forms), max(1, TABLE // max(1, len(names)))):
+        part = slice(low, low + max(1, TABLE // max(1, len(names))))
+        r = radius[part]
+        near = (np.abs(sizes[:, None] - form_sizes[part]) <= r) & (np.bitwise_count(masks[:, None] ^ form_masks[part]) <= 2 * r)
+        i, j = np.nonzero(near)
+        for a in range(0, len(i), PAIRS):
+            x, y = i[a : a + PAIRS], j[a : a + PAIRS] + low
+            few = np.abs(bags[x] - form_bags[y]).sum(axis=1) <= 2 * radius[y]
+            x, y = x[few], y[few]
+            if len(x):
+                d = pair_distances([names[k] for k in x], [forms[k] for k in y])
+                out += [(names[x[k]], forms[y[k]], int(d[k])) for k in np.flatnonzero(d <= radius[y])]
+    return out
+
+
+_SIDES = "cell int, ring int, text string, radius int"
+
+
+def radius_join(strings: DataFrame, forms: DataFrame) -> DataFrame:
+    """(name, form, distance): the distinct strings `name` within the radius of each form (form, radius); of several
+    radii of one form the largest counts."""
     spark = strings.sparkSession
-    radius: dict[str, int] = {}
-    for f, r in forms:
-        if 0 < len(f) <= LONGEST:
-            radius[f] = max(r, radius.get(f, 0))
-    pivots = choose_pivots(list(radius))
-    names = sorted(radius)
+    forms = cut(forms.where(F.length("form") > 0).groupBy("form").agg(F.max("radius").cast("int").alias("radius")))
+    pivots = choose_pivots([r["form"] for r in forms.select("form").orderBy(F.xxhash64("form"), "form").limit(SAMPLE).collect()])
     schema = "name string, form string, distance int"
     if not pivots:
         return spark.createDataFrame([], schema)
+    reach = forms.agg(F.max(F.length("form") + F.col("radius"))).first()[0]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes = coded(batch.column(0).to_pylist())
-            d = np.stack([levenshtein(codes, sizes, p) for p in pivots], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(axis=1), pa.int32()), pa.array(d.min(axis=1), pa.int32())], names=["name", "cell", "to_pivot"])
-
-    codes, sizes = coded(names)
-    d = np.stack([levenshtein(codes, sizes, p) for p in pivots], axis=1)
-    near = d.min(axis=1)
-    rows = [(int(c), part, f, radius[f], int(d[i, c])) for i, f in enumerate(names) for c in range(len(pivots)) if d[i, c] <= near[i] + 2 * radius[f] for part in range(PARTS)]
-    right = spark.createDataFrame(rows, "cell int, part int, form string, radius int, form_to_pivot int")
-    short = strings.select("name").where(F.length("name").between(1, LONGEST)).distinct()
-    # names and cells are few bytes but much work: they are spread over the cores, not by their size
+            if not batch.num_rows:
+                continue
+            d = distances(batch.column(0).to_pylist(), pivots)
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(d.min(axis=1), pa.int32()), batch.column(0), pa.nulls(batch.num_rows, pa.int32())], names=["cell", "ring", "text", "radius"])
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = batch.column(1).to_numpy()
+            d = distances(batch.column(0).to_pylist(), pivots)
+            i, c = np.nonzero(d <= (d.min(axis=1) + 2 * r)[:, None])
+            wide = 2 * r[i] + 1
+            ring = np.repeat(d[i, c] - r[i], wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+            i, c = np.repeat(i, wide), np.repeat(c, wide)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ring, pa.int32()), batch.column(0).take(pa.array(i)), pa.array(r[i], pa.int32())], names=["cell", "ring", "text", "radius"])
+
+    # names and forms are few bytes but much work: they are spread over the cores, not by their size
     tasks = 4 * cores(spark)
-    left = short.repartition(tasks).mapInArrow(assign, "name string, cell int, to_pivot int").withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
-
-    def join(names: pd.DataFrame, forms: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(names) and len(forms):
-            strings = names["name"].to_numpy()
-            codes, sizes = coded(strings.tolist())
-            bags, away = letters(codes), names["to_pivot"].to_numpy()
-            form_bags = letters(coded(forms["form"].tolist())[0])
-            for k, (form, r, to_pivot) in enumerate(zip(forms["form"], forms["radius"], forms["form_to_pivot"])):
-                rows = np.flatnonzero((np.abs(away - to_pivot) <= r) & (np.abs(sizes - len(form)) <= r))
-                rows = rows[np.abs(bags[rows] - form_bags[k]).sum(axis=1) <= 2 * r]
-                dist = levenshtein(codes[rows], sizes[rows], form)
-                out += [(strings[i], form, int(x)) for i, x in zip(rows[dist <= r], dist[dist <= r])]
-        return pd.DataFrame(out, columns=["name", "form", "distance"])
-
-    left, right = left.repartition(tasks, "cell", "part"), right.repartition(tasks, "cell", "part")
-    return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(join, schema)
+    names = strings.select("name").where(F.length("name").between(1, reach)).distinct().repartition(tasks)
+    left = cut(names.mapInArrow(assign, _SIDES))
+    right = cut(forms.repartition(tasks).mapInArrow(replicate, _SIDES).where("ring >= 0"))
+    # a row for each ring: as many as pivots times lengths of forms, whatever the rows on either side
+    count = lambda df, most, name: df.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = F.broadcast(cut(count(left, MANY_NAMES, "p_all").join(count(right, MANY_FORMS, "f_all"), ["cell", "ring"])))
+    part = lambda n: F.pmod(F.xxhash64("text"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["cell", "ring", "p", "f"]
+    left = left.join(parts, ["cell", "ring"]).select("*", part("p_all").alias("p"), every("f_all").alias("f"))
+    right = right.join(parts, ["cell", "ring"]).select("*", part("f_all").alias("f"), every("p_all").alias("p"))
+    rows = left.select(*key, "text", "radius").unionByName(right.select(*key, "text", "radius"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edges in whole_runs(batches, 4):
+            text, radius, found = t["text"].to_pylist(), t["radius"].to_numpy(zero_copy_only=False), []
+            for a, b in zip(edges, edges[1:]):
+                is_form = ~np.isnan(radius[a:b].astype(float))
+                if is_form.any() and not is_form.all():
+                    at = a + np.flatnonzero(is_form)
+                    found += within([text[i] for i in a + np.flatnonzero(~is_form)], [text[i] for i in at], radius[at].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["name", "form", "distance"])
+
+    return rows.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(join, schema)

@@ -21,8 +21,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    names = name_variants.reference(table(spark, d, "companies"), "company_cik", "company_symbol", "company_name", "aliases")
-    return name_variants.named(table(spark, d, "ask_requests"), names)
+    listed = name_variants.forms(table(spark, d, "companies"), "company_cik", "company_symbol", "company_name", "aliases")
+    return name_variants.named(table(spark, d, "ask_requests"), listed)
 
 
 def p3_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -165,12 +165,15 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_radius_join_equals_brute_force(spark):
+def test_radius_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(metric_names, "MANY_NAMES", 20)
+    monkeypatch.setattr(metric_names, "MANY_FORMS", 5)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9)))
     strings = sorted({word() for _ in range(300)})
     forms = [(word(), rng.choice([0, 1, 2])) for _ in range(40)]
-    got = metric_names.radius_join(spark.createDataFrame([(s,) for s in [*strings, strings[0], "x" * 90]] + [(None,)], "name string"), forms)
+    names = spark.createDataFrame([(s,) for s in [*strings, strings[0], "x" * 90]] + [(None,)], "name string")
+    got = metric_names.radius_join(names, spark.createDataFrame(forms, "form string, radius int"))
     radius = {}
     for f, r in forms:
         radius[f] = max(r, radius.get(f, 0))
@@ -184,6 +187,12 @@ COMPANIES = [
     (3, "UDCS", "Ulvardquist International Aerospace Company", ["Ulvardquist", "Old Ulvas"]),
     (4, None, "Marelfane Water Works Inc.", []),
     (5, "NUL", None, None),
+    (6, "GOOGL", "Alphabet Inc.", ["Google"]),
+    (7, "BAC", "Bank of America Corp", ["BofA"]),
+    (8, "MMM", "3M Company", None),
+    (9, "AON", "Aon plc", None),
+    (10, "COST", "Venelyx Wholesale Corp", ["Old Price Club House"]),
+    (11, "TXV", "Marudrax Therapeutics Inc", None),
 ]
 ASKED = {
     "What was Marudraks Energy's revenue?": {1},
@@ -197,14 +206,28 @@ ASKED = {
     "(UDCS) and maerlfane water works": {3, 4},
     "Joristholm Aerospace revenue": set(),
     "Ulvard. margin": {3},
+    "what did google earn": {6},
+    "gogle margin": {6},
+    "googl revenue": {6},
+    "bank of amrica deposits": {7},
+    "bofa and america, bank of": {7},
+    "the bank of the river": set(),
+    "What did aon earn?": {9},
+    "3m margin": {8},
+    "old pric club house sales": {10},
+    "the price of the old house": set(),
+    "What was the cost of sales?": set(),
+    "cost of COST": {10},
+    "marudrax tx goodwill": {11},
     "": set(),
 }
 
 
 def test_named_companies(spark):
-    names = name_variants.Names(COMPANIES)
-    rows = [(i, q) for i, q in enumerate(ASKED)] + [(0, next(iter(ASKED))), (99, None), (100, "x" * 200_000 + " marudrax energy")]
+    listed = name_variants.forms(spark.createDataFrame(COMPANIES, "k long, s string, n string, a array<string>"), "k", "s", "n", "a")
+    rows = [(200 + i, "what was the cost of it") for i in range(5)]
+    rows += [(i, q) for i, q in enumerate(ASKED)] + [(0, next(iter(ASKED))), (99, None), (100, "x" * 200_000 + " marudrax energy")]
     got = defaultdict(set)
-    for r in name_variants.named(spark.createDataFrame(rows, "request_id long, question string"), names).collect():
+    for r in name_variants.named(spark.createDataFrame(rows, "request_id long, question string"), listed).collect():
         got[r.request_id].add(r.company_cik)
     assert {i: got.get(i, set()) for i in range(len(ASKED))} == dict(enumerate(ASKED.values())) and got[100] == {1}
