@@ -1,10 +1,15 @@
 """Packing of items of varying length into containers of fixed capacity, group by group.
 
 Method: pattern packing by non-negative least squares. Only a group's histogram of lengths (at most
-capacity + 1 rows, however many items) is packed: patterns of few lengths that nearly fill a container
-are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and
-rounded down to what the histogram holds, and the rest is packed best-fit. The plan says which ranks of
-a length go into which containers, and items join it by their rank, so no group is gathered in a task.
+capacity + 1 rows, however many items) is packed. Patterns, the lengths of one nearly full container, are enumerated
+around each length of the histogram: random lengths fill most of a container, and a pair or a single length closes it
+as exactly as may be. Their repeat counts are fitted to the histogram by non-negative least squares (an active set, so
+few patterns have a count), rounded to what the histogram holds, the largest first, and patterns are enumerated and
+fitted again for what is left, until none wastes little; the rest is packed best-fit. Patterns of up to PATTERN
+lengths are fitted together; longer histograms are dealt into parts that each span all sizes.
+
+The plan says which ranks of a length go into which containers, and items join it by their rank, so no group is
+gathered in a task. Plain best fit is kept instead where it needs fewer containers, which happens in small groups.
 
 Lengths of null are counted from the text, negative ones count as 0; items longer than the capacity
 fill whole containers and leave one rest, packed like an item. Repeated rows count once. Items of a
@@ -22,72 +27,128 @@ from pyspark.sql.window import Window
 
 from quarry.llm.base import cores, cut, n_tokens
 
-#: Items per pattern at most, in the enumeration.
-LARGEST_PATTERN = 5
 #: Share of the capacity that a pattern may leave unused.
-WASTE = 0.02
-#: Second lengths tried with each first one, and patterns fitted at most (those with the least waste).
-NEAREST, FITTED = 6, 300
+WASTE = 0.005
+#: Patterns tried around each length, and lengths whose patterns are fitted together.
+TRIED, PATTERN = 4, 256
+#: Share of the largest fitted count below one from which counts are rounded up.
+UP = 0.5
+#: Fits of one histogram at most; what they leave is packed best-fit.
+FITS = 24
 #: Blocks among which the rank of equal items is counted, so that no length is ranked in one task.
 RANK_BLOCKS = 64
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 100) -> np.ndarray:
-    """Non-negative least squares by multiplicative updates."""
+def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-7) -> np.ndarray:
+    """x >= 0 with the least |a x - b|, by an active set: columns enter where the gradient is steepest, several at a time while
+    their number grows, and leave where the least squares solution of the set turns negative."""
     gram, target = a.T @ a, a.T @ b
-    x = np.full(a.shape[1], target.sum() / max(gram.sum(), 1e-9))
-    for _ in range(steps):
-        x *= target / np.maximum(gram @ x, 1e-12)
-    return x
-
-
-def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Patterns {length: times} that leave at most WASTE of the capacity: for each largest length the best
-    completions by one, two and three more lengths, and a greedy one."""
-    have = dict(zip(lengths.tolist(), counts.tolist()))
-    order = np.sort(lengths)
-    found: set[tuple[int, ...]] = set()
-
-    def below(limit: int) -> int | None:
-        i = int(np.searchsorted(order, limit, "right")) - 1
-        return int(order[i]) if i >= 0 else None
-
-    def complete(held: list[int]) -> None:
-        held = list(held)
-        while len(held) < LARGEST_PATTERN and (x := below(min(held[-1], capacity - sum(held)))) is not None:
-            held.append(x)
-        if 0 <= capacity - sum(held) <= WASTE * capacity and all(held.count(x) <= have[x] for x in set(held)):
-            found.add(tuple(held))
-
-    for first in order[::-1].tolist():
-        complete([first])
-        for second in order[order <= min(first, capacity - first)][-NEAREST:].tolist():
-            complete([first, second])
-            if (third := below(min(second, capacity - first - second, (capacity - first - second) // 2 + 1))) is not None:
-                complete([first, second, third])
-    best = sorted(found, key=lambda p: (-sum(p), p))[:FITTED]
-    return [{x: p.count(x) for x in p} for p in best]
-
-
-def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Containers as (pattern, repeats) for a histogram of lengths from 1 to capacity."""
-    left = dict(zip(lengths.tolist(), counts.tolist()))
+    x, held, idle = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool), np.zeros(a.shape[1], bool)
+    many, least = 8, float(b @ b)
+    for _ in range(6 * a.shape[1] + 10):
+        steep = np.where(held | idle, -np.inf, target - gram @ x)
+        top = steep.max(initial=-np.inf)
+        if top <= tolerance * max(1.0, np.abs(target).max()):
+            break
+        enter = np.argsort(-steep, kind="stable")[:many]
+        enter = enter[steep[enter] >= 0.5 * top]
+        held[enter] = True
+        while held.any():
+            own = np.flatnonzero(held)
+            s = np.linalg.solve(gram[np.ix_(own, own)] + 1e-9 * np.eye(len(own)), target[own])
+            if (s > 0).all():
+                x[:] = 0
+                x[own] = s
+                break
+            low = s <= 0
+            step = (x[own[low]] / np.maximum(x[own[low]] - s[low], 1e-12)).min()
+            x[own] += step * (s - x[own])
+            held[own[low & (x[own] <= 1e-9)]] = False
+            x[~held] = 0
+        off = float(((a @ x - b) ** 2).sum())
+        if off < least * (1 - 1e-9):
+            many, least, idle[:] = 8, off, False
+        else:  # columns that bring nothing now wait until another one has
+            idle[enter] |= many == 1
+            many = 1
+    return np.maximum(x, 0)
+
+
+def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Distinct patterns, rows of times per length, that leave at most WASTE of the capacity and hold no more than there is."""
+    n, rows = len(lengths), np.repeat(np.arange(len(lengths)), TRIED)
+    way = np.tile(np.arange(TRIED), n)  # 0: the largest that fits, again and again; 1: a pair at once; else random lengths, then a pair
+    used = np.zeros((len(rows), n), np.int64)
+    used[np.arange(len(rows)), rows] = 1
+    room = capacity - lengths[rows]
+    close = 2.5 * float((lengths * counts).sum() / counts.sum())
+    i, j = np.triu_indices(n)
+    both = i != j
+    both |= counts[i] > 1
+    i, j = i[both], j[both]
+    order = np.argsort(lengths[i] + lengths[j], kind="stable")
+    i, j, sums = i[order], j[order], (lengths[i] + lengths[j])[order]
+
+    def add(at: np.ndarray, which: np.ndarray) -> None:
+        np.add.at(used, (at, which), 1)
+        np.subtract.at(room, at, lengths[which])
+
+    weight = np.log(np.maximum(counts, 1)) + 1
+    while True:
+        at = np.flatnonzero((room > close) & (way > 1))
+        fits = (lengths <= room[at, None]) & (used[at] < counts)
+        at, fits = at[fits.any(axis=1)], fits[fits.any(axis=1)]
+        if not len(at):
+            break
+        add(at, (rng.random(fits.shape) * weight * fits).argmax(axis=1))
+    if len(sums):
+        at = np.flatnonzero(way > 0)
+        for back in range(4):  # the best pair that is still there
+            k = np.searchsorted(sums, room[at], "right") - 1 - back
+            at, k = at[k >= 0], k[k >= 0]
+            free = (used[at, i[k]] + (i[k] == j[k]) < counts[i[k]]) & (used[at, j[k]] < counts[j[k]]) & (room[at] - sums[k] <= WASTE * capacity)
+            add(at[free], i[k[free]])
+            add(at[free], j[k[free]])
+            at = at[~free]
+    while True:  # and single lengths, the largest first; what is nearly full stays so, but for one way in four
+        fits = (lengths <= room[:, None]) & (used < counts) & ((room > WASTE * capacity) | (way == TRIED - 1))[:, None]
+        at = np.flatnonzero(fits.any(axis=1))
+        if not len(at):
+            break
+        add(at, (fits[at] * lengths).argmax(axis=1))
+    good = room <= WASTE * capacity
+    return np.unique(used[good], axis=0)
+
+
+def pack_histogram(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Containers as (pattern, repeats) for a histogram of lengths from 1 to capacity, and how many of them are fitted patterns."""
+    left, rng = counts.astype(np.int64).copy(), np.random.default_rng(len(lengths))
     out: list[tuple[dict[int, int], int]] = []
-    tried = patterns(lengths, counts, capacity)
-    if tried:
-        place = {x: i for i, x in enumerate(lengths.tolist())}
-        a = np.zeros((len(lengths), len(tried)))
-        for j, p in enumerate(tried):
-            for x, m in p.items():
-                a[place[x], j] = m
-        fit = nnls(a, counts.astype(float))
-        for j in np.argsort(-fit, kind="stable"):
-            times = min([round(fit[j]), *(left[x] // m for x, m in tried[j].items())])
-            if times > 0:
-                out.append((tried[j], times))
-                for x, m in tried[j].items():
-                    left[x] -= m * times
-    return out + best_fit(left, capacity)
+    for _ in range(FITS):
+        here = np.flatnonzero(left)
+        before = len(out)
+        if (lengths * left).sum() <= capacity:
+            break
+        for part in range(-(-len(here) // PATTERN)):
+            own = here[part :: -(-len(here) // PATTERN)]
+            tried = patterns(lengths[own], left[own], capacity, rng)
+            if not len(tried):
+                continue
+            fit = nnls(tried.T.astype(float), left[own].astype(float))
+            whole = np.floor(fit + 1e-6)
+            # counts below one are rounded up only where no other is left, the largest of them
+            whole = whole if whole.any() else (fit >= UP * fit.max()).astype(float)
+            for k in np.argsort(-fit, kind="stable"):
+                if whole[k] < 1:
+                    continue
+                some = tried[k] > 0
+                times = min(int(whole[k]), int((left[own][some] // tried[k][some]).min()))
+                if times > 0:
+                    left[own] -= tried[k] * times
+                    out.append((dict(zip(lengths[own][some].tolist(), tried[k][some].tolist())), times))
+        if len(out) == before:
+            break
+    return out + best_fit(dict(zip(lengths.tolist(), left.tolist())), capacity), len(out)
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -111,12 +172,11 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, last rank, first container, items of the length per container).
-    The patterns' packing is compared with plain best fit, whose rest it extends; the smaller is kept."""
+    """Runs (length, first rank, last rank, first container, items of the length per container)."""
     zero = int(counts[lengths == 0].sum())
     real = lengths > 0
     lengths, counts = lengths[real], counts[real]
-    used = pack_histogram(lengths, counts, capacity) if len(lengths) else []
+    used = pack_histogram(lengths, counts, capacity)[0] if len(lengths) else []
     if len(lengths) and sum(t for _, t in used) > -(-int((lengths * counts).sum()) // capacity):
         plain = best_fit(dict(zip(lengths.tolist(), counts.tolist())), capacity)
         used = min(used, plain, key=lambda u: sum(t for _, t in u))

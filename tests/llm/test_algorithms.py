@@ -38,6 +38,29 @@ def test_plan_places_each_item_once_within_capacity(items):
     assert len(held) <= max(first_fit(items, 100), 1)
 
 
+def test_least_squares_meet_the_conditions_of_an_optimum():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        a, b = rng.integers(0, 4, (12, 30)).astype(float), rng.integers(0, 30, 12).astype(float)
+        x = pack.nnls(a, b)
+        gradient = a.T @ (a @ x - b)
+        assert (x >= 0).all() and gradient.min() > -1e-4 and np.abs(gradient[x > 0]).max(initial=0) < 1e-4
+
+
+def test_patterns_hold_most_items_and_waste_little():
+    for low, high, many in ((1, 1500, 20), (300, 1200, 50)):
+        lengths = np.arange(low, high + 1)
+        used, fitted = pack.pack_histogram(lengths, np.full(len(lengths), many), 1500)
+        held = defaultdict(int)
+        for p, times in used:
+            assert sum(x * m for x, m in p.items()) <= 1500
+            for x, m in p.items():
+                held[x] += m * times
+        assert held == dict.fromkeys(lengths.tolist(), many)
+        assert sum(t for _, t in used) <= 1.01 * -(-int(lengths.sum()) * many // 1500)
+        assert sum(sum(p.values()) * t for p, t in used[:fitted]) >= 0.9 * len(lengths) * many
+
+
 def test_pack_rows(spark):
     rng = random.Random(1)
     rows = [(f"f{i % 2}" if i % 5 else "f0", i, rng.choice([None, 10, 40, 60, 90, 250, -3, 0]), " ".join("x" * rng.randrange(0, 9))) for i in range(400)]
