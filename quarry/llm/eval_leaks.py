@@ -1,24 +1,31 @@
-"""Passages of held-out evaluation items inside corpus documents.
+"""Passages of held-out evaluation items inside corpus documents, word for word or paraphrased.
 
 Method: latent semantic retrieval. A randomised singular value decomposition of the TF-IDF matrix of all documents
 is computed in distributed passes over all of them: the words' document counts, then the product of the matrix
 with its transpose and a random test matrix, whose orthonormal basis spans the leading latent directions. Words
-are hashed to FEATURES columns, so all that is gathered has a fixed size, whatever the corpus.
+are hashed to FEATURES columns, so all that is gathered has a fixed size, whatever the corpus. Texts are read into
+words once; the passes read 32-bit word hashes from the checkpoint folder.
 
-Documents are cut into passages of half the wanted run and items into all windows of that length, both
-projected into the latent space; the cosine of equal passages is 1 there, so a search for cosines of at least
-NEAR finds, for each common run of `least` words, the passage that lies wholly inside it. Item windows lie in
-cells around pivots, and a passage compares itself only with the cells that the triangle inequality of angles
-leaves. Each candidate is then checked by its words: the longest common run around the two positions must reach
-`least` words, or the whole text where an item's question or context has fewer than that (no leak then).
+`paraphrases`: passages are sentences (longer ones are cut at LONGEST words). Those of documents and items whose
+latent vectors have a cosine of at least MEANT are candidates; a candidate stands if its longest common subsequence
+of words reaches KEPT of the item's passage (the longest-common-subsequence check) and at least half of the words
+that carry the passage's answer, its figures and the words that few items share, stand in it (the answer check).
+
+`leaks`: runs of `least` equal words, wherever sentences begin. Documents are cut into passages of half the wanted
+run and items into all windows of that length; the vectors of equal passages are equal, so a search for cosines of
+at least SAME finds, for each common run, the passage that lies wholly inside it. Item windows lie in cells around
+pivots, and a passage compares itself only with the cells that the triangle inequality of angles leaves. The common
+run around each candidate must reach `least` words. Here the latent space only prunes: what it would
+miss without equal words is left to `paraphrases`.
 
 Words are maximal runs of ASCII letters and digits in the lower-cased text. Null and empty texts hold no
-passage. Repeated items count once by id; items that share a text each give a row. Item windows are searched in
-blocks of BLOCK, one pass over the documents each, so that what is sent to the executors is bounded.
+passage. Repeated items count once by id; items that share a text each give a row. Item passages are searched in
+blocks of BLOCK words, one pass over the documents each, so that what is sent to the executors is bounded.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,73 +33,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import WORD_RE, WordHasher, mix64, spread
+from quarry.llm.base import WORD_RE, WordHasher, cut, mix64, spread
 
 FEATURES, RANK, EXTRA = 1 << 14, 40, 8
-#: Cosine of a candidate in the latent space.
-NEAR = 0.98
+#: Cosine of equal passages, but for rounding; and of passages that may mean the same.
+SAME, MEANT = 0.9995, 0.7
+#: Share of an item's passage that a paraphrase keeps in order, and of its answer's words.
+KEPT, ANSWER = 0.6, 0.5
+#: Share of the item texts that may hold a word that carries an answer.
+FEW = 0.05
+#: Words of a passage at least and at most.
+SHORTEST, LONGEST = 8, 40
 PIVOTS = 192
-#: Item windows of one pass, at most (40 MB with their vectors).
+#: Item words of one pass, at most (40 MB with their vectors).
 BLOCK = 200_000
 #: Passages that are compared at once.
 BATCH = 8192
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n+")
 
 
 def _feature(hashes: np.ndarray) -> np.ndarray:
-    return (mix64(hashes) % np.uint64(FEATURES)).astype(np.int64)
+    return (mix64(hashes.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
 
 
 def _random(seed: int, columns: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((FEATURES, columns)).astype(np.float32)
 
 
-def _words(batch: pa.RecordBatch, column: int, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts of a batch, and the number of words of each."""
-    lists = [WORD_RE.findall(t.lower()) if t else [] for t in batch.column(column).to_pylist()]
-    sizes = np.fromiter(map(len, lists), np.int64, count=len(lists))
-    return hasher([w for x in lists for w in x]), sizes
+def _hashed(texts: list[str], hasher: WordHasher) -> list[np.ndarray]:
+    lists = [WORD_RE.findall(t.lower()) for t in texts]
+    flat = (hasher([w for x in lists for w in x]) >> np.uint64(32)).astype(np.uint32)
+    return np.split(flat, np.cumsum([len(x) for x in lists])[:-1]) if lists else []
+
+
+def passages(texts: list[str]) -> list[np.ndarray]:
+    """Sizes of the passages of each text, in words, in order: sentences, long ones cut."""
+    out = []
+    for t in texts:
+        sizes = [len(WORD_RE.findall(x)) for x in _SENTENCE.split(t.lower())]
+        out.append(np.array([min(LONGEST, n - k) for n in sizes for k in range(0, n, LONGEST)], np.int32))
+    return out
+
+
+def tokenised(docs: DataFrame, sentences: bool = False) -> DataFrame:
+    """(doc_id, words, sizes): 32-bit hashes of a document's words, and with sentences the sizes of its passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = passages(texts) if sentences else [np.zeros(0, np.int32)] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in _hashed(texts, hasher)], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["doc_id", "words", "sizes"])
+
+    some = docs.select("doc_id", "text").where(F.lower("text").rlike("[a-z0-9]"))
+    return cut(spread(some).mapInArrow(run, "doc_id long, words binary, sizes binary"))
+
+
+def _flat(column: pa.Array, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.fromiter(map(len, rows), np.int64, count=len(rows)) // np.dtype(kind).itemsize
 
 
-def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+def document_counts(words: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each feature, and documents in all; combined by feature before they are gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total, n = WordHasher(), np.zeros(FEATURES, np.int64), 0
+        total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            words, sizes = _words(batch, 0, hasher)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            once = np.unique(owner * FEATURES + _feature(words))
-            total += np.bincount(once % FEATURES, minlength=FEATURES)
-            n += int((sizes > 0).sum())
+            for low in range(0, batch.num_rows, 500):
+                flat, sizes = _flat(batch.column(0).slice(low, 500))
+                once = np.unique(np.repeat(np.arange(len(sizes)) * FEATURES, sizes) + _feature(flat))
+                total += np.bincount(once % FEATURES, minlength=FEATURES)
+                n += int((sizes > 0).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = words.select("words").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = rows["at"].to_numpy(), rows["n"].to_numpy()
     counts = np.zeros(FEATURES, np.int64)
     counts[at[at >= 0]] = n[at >= 0]
     return counts, int(n[at < 0].sum())
 
 
-def latent_directions(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
+def latent_directions(words: DataFrame, idf: np.ndarray) -> np.ndarray:
     """FEATURES x RANK: word vectors in the latent space, weighted by idf."""
     width = RANK + EXTRA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, test, total = WordHasher(), _random(11, width), np.zeros((FEATURES, width))
+        test, total = _random(11, width), np.zeros((FEATURES, width))
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                words, sizes = _words(batch.slice(low, 1000), 0, hasher)
-                if not len(words):
+            for low in range(0, batch.num_rows, 500):
+                flat, sizes = _flat(batch.column(0).slice(low, 500))
+                if not len(flat):
                     continue
-                cell, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * FEATURES + _feature(words), return_counts=True)
+                cell, count = np.unique(np.repeat(np.arange(len(sizes)) * FEATURES, sizes) + _feature(flat), return_counts=True)
                 row, col = cell // FEATURES, cell % FEATURES
                 weight = (1 + np.log(count)) * idf[col]
                 starts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+                many = np.diff(np.append(starts, len(row)))
                 norm = np.sqrt(np.add.reduceat(weight * weight, starts))
-                weight = (weight / np.repeat(np.maximum(norm, 1e-9), np.diff(np.append(starts, len(row))))).astype(np.float32)
+                weight = (weight / np.repeat(np.maximum(norm, 1e-9), many)).astype(np.float32)
                 product = np.add.reduceat(test[col] * weight[:, None], starts, axis=0)
-                back = np.repeat(product, np.diff(np.append(starts, len(row))), axis=0) * weight[:, None]
+                back = np.repeat(product, many, axis=0) * weight[:, None]
                 order = np.argsort(col, kind="stable")
                 first = np.concatenate([[0], np.flatnonzero(np.diff(col[order])) + 1])
                 total[col[order][first]] += np.add.reduceat(back[order], first, axis=0)
@@ -100,7 +143,7 @@ def latent_directions(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(width))], names=["at", *(f"c{k}" for k in range(width))])
 
     schema = "at long, " + ", ".join(f"c{k} double" for k in range(width))
-    sums = docs.select("text").mapInArrow(run, schema).groupBy("at").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(width))).toArrow()
+    sums = words.select("words").mapInArrow(run, schema).groupBy("at").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(width))).toArrow()
     product = np.zeros((FEATURES, width))
     if sums.num_rows:
         product[sums["at"].to_numpy()] = np.stack([sums[f"c{k}"].to_numpy() for k in range(width)], axis=1)
@@ -122,7 +165,7 @@ class Items:
     """Item texts as words, with their windows in cells around pivots."""
 
     def __init__(self, texts: list[np.ndarray], owners: list[int], length: int, directions: np.ndarray):
-        self.words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        self.words = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.end = self.begin + sizes
@@ -140,16 +183,16 @@ class Items:
         self.radius = np.array([angle[a:b].max(initial=0.0) for a, b in zip(self.edges, self.edges[1:])])
 
     def candidates(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (passage, window) with a cosine of at least NEAR, cell by cell."""
+        """Pairs (passage, window) with a cosine of at least SAME, cell by cell."""
         if not len(self.pivots):
             return
         to_pivot = x @ self.pivots.T
-        least = np.cos(np.minimum(self.radius + np.arccos(NEAR) + 1e-3, np.pi))
+        least = np.cos(np.minimum(self.radius + np.arccos(SAME) + 1e-3, np.pi))
         for k in range(len(self.pivots)):
             rows = np.flatnonzero(to_pivot[:, k] >= least[k])
             a, b = self.edges[k], self.edges[k + 1]
             if len(rows) and a < b:
-                p, w = np.nonzero(x[rows] @ self.vectors[a:b].T >= NEAR)
+                p, w = np.nonzero(x[rows] @ self.vectors[a:b].T >= SAME)
                 if len(p):
                     yield rows[p], a + w
 
@@ -174,39 +217,44 @@ def _run_reaches(doc: np.ndarray, d0: np.ndarray, d1: np.ndarray, at: np.ndarray
     return run >= least
 
 
-def leaks(docs: DataFrame, held_out: DataFrame, least: int = 12) -> DataFrame:
-    """(doc_id, question_id) of documents (doc_id, text) that hold `least` consecutive words of the question or the
-    context of an item (id, question, context)."""
-    spark = docs.sparkSession
-    docs = spread(docs.select("doc_id", "text"))
-    length = least // 2
-    hasher = WordHasher()
-    owners: dict[str, list[str]] = {}  # the evaluation set is a stated query set, in blocks below
-    for row in held_out.select("id", "question", "context").distinct().toLocalIterator():
+def _held_out(items: DataFrame, least: int) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """Texts of the items with the ids that hold each, in blocks of BLOCK words: the evaluation set is a stated query set."""
+    owners: dict[str, list[str]] = {}
+    for row in items.select("id", "question", "context").distinct().toLocalIterator():
         for text in (row["question"], row["context"]):
             if row["id"] is not None and text:
                 owners.setdefault(text, []).append(row["id"])
-    counts, n = document_counts(docs)
-    idf = np.log((1 + n) / (1 + counts)) + 0.1
-    directions = latent_directions(docs, idf)
-
-    blocks: list[tuple[list[np.ndarray], list[list[str]]]] = [([], [])]
-    size = 0
-    for text, ids in owners.items():
-        words = WORD_RE.findall(text.lower())
-        if len(words) < least:
+    texts, ids, size = [], [], 0
+    for text, own in owners.items():
+        n = len(WORD_RE.findall(text.lower()))
+        if n < least:
             continue
-        if size and size + len(words) > BLOCK:
-            blocks.append(([], []))
-            size = 0
-        blocks[-1][0].append(hasher(words).copy())
-        blocks[-1][1].append(sorted(set(ids)))
-        size += len(words)
+        if size and size + n > BLOCK:
+            yield texts, ids
+            texts, ids, size = [], [], 0
+        texts.append(text)
+        ids.append(sorted(set(own)))
+        size += n
+    yield texts, ids
+
+
+def latent_space(words: DataFrame) -> np.ndarray:
+    """Directions of the features."""
+    counts, n = document_counts(words)
+    return latent_directions(words, np.log((1 + n) / (1 + counts)) + 0.1)
 
+
+def leaks(docs: DataFrame, held_out: DataFrame, least: int = 12) -> DataFrame:
+    """(doc_id, question_id) of documents (doc_id, text) that hold `least` consecutive words of the question or the
+    context of an item (id, question, context)."""
+    length, hasher = least // 2, WordHasher()
+    words = tokenised(docs)
+    directions = latent_space(words)
     found = None
-    for texts, ids in blocks:
-        sent = spark.sparkContext.broadcast((Items(texts, list(range(len(ids))), length, directions), directions, ids))
-        one = docs.select("doc_id", "text").mapInArrow(_search(sent, length, least), "doc_id long, question_id string")
+    for texts, ids in _held_out(held_out, least):
+        items = Items(_hashed(texts, hasher), list(range(len(ids))), length, directions)
+        sent = docs.sparkSession.sparkContext.broadcast((items, directions, ids))
+        one = words.select("doc_id", "words").mapInArrow(_search(sent, length, least), "doc_id long, question_id string")
         found = one if found is None else found.unionByName(one)
     return found.distinct()
 
@@ -214,17 +262,16 @@ def leaks(docs: DataFrame, held_out: DataFrame, least: int = 12) -> DataFrame:
 def _search(sent, length: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, directions, ids = sent.value
-        hasher = WordHasher()
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            words, sizes = _words(batch, 1, hasher)
+            words, sizes = _flat(batch.column(1))
             end = np.cumsum(sizes)
             begin = end - sizes
-            passages = sizes // length
-            owner = np.repeat(np.arange(len(sizes)), passages)
+            per = sizes // length
+            owner = np.repeat(np.arange(len(sizes)), per)
             if not len(owner):
                 continue
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(passages) - passages, passages)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
             at = begin[owner] + nth * length
             hits: set[tuple[int, int]] = set()
             for low in range(0, len(at), BATCH):
@@ -236,3 +283,90 @@ def _search(sent, length: int, least: int):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "question_id"])
 
     return run
+
+
+# ---- paraphrases
+
+
+class Passages:
+    """Sentences of many texts as words, with their latent vectors."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, owner: np.ndarray, directions: np.ndarray):
+        end = np.cumsum(sizes)
+        long = sizes >= SHORTEST
+        self.words, self.end, self.begin, self.owner = words, end[long], (end - sizes)[long], owner[long]
+        many = self.end - self.begin
+        at = np.repeat(self.begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        feature = _feature(words[at])
+        starts = np.cumsum(many) - many
+        x = np.add.reduceat(directions[feature], starts, axis=0) if len(many) else np.zeros((0, directions.shape[1]), np.float32)
+        self.vectors = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def __getitem__(self, k: int) -> list[int]:
+        return self.words[self.begin[k] : self.end[k]].tolist()
+
+
+def answer_words(items: Passages, texts: int, figures: set[int]) -> list[set[int]]:
+    """The words of each item passage that carry its answer: figures, and names and other words that few items share."""
+    own = [set(items[k]) for k in range(len(items.owner))]
+    shared: dict[int, set[int]] = {}
+    for k, ws in enumerate(own):
+        for w in ws:
+            shared.setdefault(w, set()).add(int(items.owner[k]))
+    return [{w for w in ws if w in figures or len(shared[w]) <= max(2, FEW * texts)} or ws for ws in own]
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bits of a whole row at once."""
+    where: dict = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        match = row & where.get(w, 0)
+        row = (row + match | row - match) & full
+    return len(a) - row.bit_count()
+
+
+def paraphrases(docs: DataFrame, held_out: DataFrame) -> DataFrame:
+    """(doc_id, question_id, kept): documents with a passage that says what a passage of an item says, in the same words or with
+    some of them changed, and the largest share of an item's passage that is kept in order, rounded to 6 decimals."""
+    hasher = WordHasher()
+    words = tokenised(docs, sentences=True)
+    directions = latent_space(words)
+    found = None
+    for texts, ids in _held_out(held_out, SHORTEST):
+        flat = _hashed(texts, hasher)
+        sizes = passages(texts)
+        items = Passages(np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64), np.repeat(np.arange(len(sizes)), [len(x) for x in sizes]), directions)
+        answers = answer_words(items, len(texts), set(_hashed([" ".join(w for t in texts for w in WORD_RE.findall(t.lower()) if not w.isalpha())], hasher)[0].tolist()))
+        sent = docs.sparkSession.sparkContext.broadcast((items, answers, directions, ids))
+        one = words.mapInArrow(_compare(sent), "doc_id long, question_id string, kept double")
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("doc_id", "question_id").agg(F.round(F.max("kept"), 6).alias("kept"))
+
+
+def _compare(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, answers, directions, ids = sent.value
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            words, _ = _flat(batch.column(1))
+            sizes, many = _flat(batch.column(2), np.int32)
+            own = Passages(words, sizes.astype(np.int64), np.repeat(np.arange(len(many)), many), directions)
+            best: dict[tuple[int, int], float] = {}
+            for low in range(0, len(own.owner), BATCH // 4):
+                p, q = np.nonzero(own.vectors[low : low + BATCH // 4] @ items.vectors.T >= MEANT)
+                for i, j in zip((p + low).tolist(), q.tolist()):
+                    mine, theirs = own[i], items[j]
+                    if len(answers[j].intersection(mine)) < ANSWER * len(answers[j]):
+                        continue
+                    kept = common_subsequence(theirs, mine) / len(theirs)
+                    key = int(own.owner[i]), int(items.owner[j])
+                    if kept >= KEPT and kept > best.get(key, 0.0):
+                        best[key] = kept
+            rows = [(doc_ids[o], i, kept) for (o, t), kept in sorted(best.items()) for i in ids[t]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "question_id", "kept"])
+
+    return run

@@ -90,9 +90,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_bpe.encode(table(spark, d, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
 
 
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions").where(F.lower(F.trim("split")) == "test")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    held_out = table(spark, d, "questions").where(F.lower(F.trim("split")) == "test")
-    return eval_leaks.leaks(table(spark, d, "documents"), held_out)
+    return eval_leaks.leaks(table(spark, d, "documents"), _held_out(spark, d))
+
+
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.paraphrases(table(spark, d, "documents"), _held_out(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

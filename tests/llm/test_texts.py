@@ -196,6 +196,50 @@ def test_leaks_equal_brute_force(spark):
     assert want and {tuple(r) for r in got.collect()} == want
 
 
+def _topics(rng):
+    """Topics of word pairs that mean the same: documents use either word of a pair."""
+    topics = [[(f"t{k}a{i}", f"t{k}b{i}") for i in range(14)] for k in range(20)]
+    sentence = lambda k, n: [rng.choice(topics[k])[rng.randrange(2)] for _ in range(n)]
+    swap = {x: y for t in topics for a, b in t for x, y in ((a, b), (b, a))}
+    return sentence, swap
+
+
+def _paraphrased(spark, rng):
+    """(documents, items, planted): items' sentences with two words in five exchanged for their like."""
+    sentence, swap = _topics(rng)
+    docs = [[" ".join(sentence(k, 16)) + "." for _ in range(6)] for k in range(20) for _ in range(12)]
+    items, planted = [], set()
+    for n in range(60):
+        words = sentence(n % 20, 18)
+        items.append((f"q{n}", " ".join(words) + "?", None))
+        said = [swap[w] if i % 5 in (1, 3) else w for i, w in enumerate(words)]
+        docs[n * 4].insert(3, " ".join(said).capitalize() + ".")
+        planted.add((n * 4, f"q{n}"))
+    rows = [(i, " ".join(x)) for i, x in enumerate(docs)] + [(900, None), (901, ""), (902, "...")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (None, "x", "y"), ("q", None, "")], "id string, question string, context string"), planted
+
+
+def test_paraphrases_are_found_by_the_latent_space_alone(spark, monkeypatch):
+    docs, items, planted = _paraphrased(spark, random.Random(8))
+    got = {(r.doc_id, r.question_id) for r in eval_leaks.paraphrases(docs, items).collect()}
+    assert len(planted & got) >= 0.9 * len(planted) and len(got - planted) <= 0.1 * len(got)
+    monkeypatch.setattr(eval_leaks, "latent_directions", lambda words, idf: idf[:, None].astype("f4") * eval_leaks._random(3, eval_leaks.RANK))
+    blind = {(r.doc_id, r.question_id) for r in eval_leaks.paraphrases(docs, items).collect()}
+    assert len(planted & blind) < 0.7 * len(planted)
+
+
+def test_common_subsequence_equals_the_plain_table():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[j] + 1 if x == y else 0, row[j + 1]) for j, y in enumerate(b)]
+            for j in range(len(b)):
+                row[j + 1] = max(row[j + 1], row[j])
+        assert eval_leaks.common_subsequence(a, b) == row[-1]
+
+
 # ---- encodings
 
 
