@@ -44,7 +44,7 @@ KEPT, ANSWER = 0.6, 0.5
 FEW = 0.05
 #: Words of a passage at least and at most.
 SHORTEST, LONGEST = 8, 40
-PIVOTS = 192
+PIVOTS = 384
 #: Item words of one pass, at most (40 MB with their vectors).
 BLOCK = 200_000
 #: Passages that are compared at once.
@@ -152,12 +152,11 @@ def latent_directions(words: DataFrame, idf: np.ndarray) -> np.ndarray:
     return (idf[:, None] * (basis[:, :RANK] + 1e-3 * _random(12, RANK))).astype(np.float32)
 
 
-def _project(words: np.ndarray, starts: np.ndarray, length: int, directions: np.ndarray) -> np.ndarray:
+def _project(feature: np.ndarray, starts: np.ndarray, length: int, directions: np.ndarray) -> np.ndarray:
     """Unit latent vectors of the windows of `length` words at starts."""
-    at = np.sort(_feature(words)[starts[:, None] + np.arange(length)], axis=1)  # one order of sums for equal bags
-    x = np.zeros((len(starts), directions.shape[1]), np.float32)
-    for k in range(length):
-        x += directions[at[:, k]]
+    x = directions[feature[starts]]
+    for k in range(1, length):  # in the words' order: equal windows have equal sums
+        x += directions[feature[starts + k]]
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -171,7 +170,7 @@ class Items:
         self.end = self.begin + sizes
         self.text = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
         self.start = np.concatenate([b + np.arange(max(n - length + 1, 0)) for b, n in zip(self.begin, sizes)]).astype(np.int64) if texts else np.zeros(0, np.int64)
-        vectors = _project(self.words, self.start, length, directions) if len(self.start) else np.zeros((0, directions.shape[1]), np.float32)
+        vectors = _project(_feature(self.words), self.start, length, directions) if len(self.start) else np.zeros((0, directions.shape[1]), np.float32)
         chosen = np.random.default_rng(5).choice(len(vectors), min(PIVOTS, len(vectors)), replace=False)
         self.pivots, self.owners = vectors[chosen], np.array(owners)
         near = vectors @ self.pivots.T
@@ -186,10 +185,10 @@ class Items:
         """Pairs (passage, window) with a cosine of at least SAME, cell by cell."""
         if not len(self.pivots):
             return
-        to_pivot = x @ self.pivots.T
+        to_pivot = self.pivots @ x.T
         least = np.cos(np.minimum(self.radius + np.arccos(SAME) + 1e-3, np.pi))
         for k in range(len(self.pivots)):
-            rows = np.flatnonzero(to_pivot[:, k] >= least[k])
+            rows = np.flatnonzero(to_pivot[k] >= least[k])
             a, b = self.edges[k], self.edges[k + 1]
             if len(rows) and a < b:
                 p, w = np.nonzero(x[rows] @ self.vectors[a:b].T >= SAME)
@@ -265,6 +264,7 @@ def _search(sent, length: int, least: int):
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, sizes = _flat(batch.column(1))
+            feature = _feature(words)
             end = np.cumsum(sizes)
             begin = end - sizes
             per = sizes // length
@@ -276,7 +276,7 @@ def _search(sent, length: int, least: int):
             hits: set[tuple[int, int]] = set()
             for low in range(0, len(at), BATCH):
                 a, o = at[low : low + BATCH], owner[low : low + BATCH]
-                for p, w in items.candidates(_project(words, a, length, directions)):
+                for p, w in items.candidates(_project(feature, a, length, directions)):
                     ok = _run_reaches(words, begin[o[p]], end[o[p]], a[p], items, w, length, least)
                     hits.update(zip(o[p[ok]].tolist(), items.text[w[ok]].tolist()))
             rows = [(doc_ids[o], i) for o, t in sorted(hits) for i in ids[t]]
