@@ -1,10 +1,13 @@
 """Prompt and response pairs whose response fails to answer: empty, copied, refusal, truncated, other_language.
 
-Method: truncation is found by a pushdown parser over fences, emphasis, brackets, quotations, table rows, list
-items and the answer line, whose stack must be empty and whose last state must be an end; copies by greedy
-string tiling of the response with the question; the other language by scripts and function words; refusals by a
-small grammar of declining clauses, that counts only where no answer stands beside it. The order of the list
-above decides where several hold. Stored status fields are not looked at.
+Method: truncation is found by a pushdown parser over fences, code, emphasis, brackets, quotations, tags, table rows,
+list items and the answer line, whose stack must be empty and whose last state must be an end; copies by greedy
+string tiling of the response with the question; the other language by scripts and a model of letter groups, trained
+here; refusals by a small grammar of declining clauses, that counts only where no answer stands beside it. The order
+of the list above decides where several hold. Stored status fields are not looked at.
+
+The last item of a list ends like the items before it: without a full stop where these have none. An item that stops
+after a word or sign that nothing can end with is cut off in any list.
 
 A null question has no language and cannot be copied. Very long texts are parsed in one pass. Repeated rows give
 one result; of several different responses to one request the first kind in the order above is reported.
@@ -12,9 +15,13 @@ one result; of several different responses to one request the first kind in the
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +34,30 @@ DEFECTS = ["empty", "copied", "refusal", "truncated", "other_language"]
 PLACEHOLDERS = {"", "null", "none", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "undefined", "answer", "response", "placeholder", "no answer", "empty", "blank", "pending", "lorem ipsum"}
 #: Values of an answer line that give no answer (fixed values).
 NO_VALUES = {"insufficient", "n/a", "na", "unknown", "not available", "none", "unavailable", "not found", "not given", "not disclosed", "unanswerable", "cannot answer", "null", ""}
-#: Function words by language (fixed values).
-FUNCTION_WORDS = {
-    "en": "the of and to in for with by from which at on is are was were what how did does that this it an be not than which please before year compare",
-    "de": "der die das und den dem des mit von für zu im am auf bei ist wird wurde war waren nach nicht ein eine einen laut welche wie wieviel um wie hoch bildete zwischen sich dazu vorjahr",
-    "fr": "le les des du un une et est dans pour par sur au aux que qui avec en la de ne pas cette quel quelle était ont été pourquoi combien à l’exercice selon ce",
-    "es": "el los las del una y es por con para que se al un la de en no fue fueron según cuáles cuántos qué lo esta sobre todo este cuál",
-    "pt": "os um uma do da dos das e é para com não que em no na pelo pela foi são ao qual quais quanto segundo o a",
+#: Words that neither a sentence nor a list item ends with (fixed values).
+NO_END = {
+    "the", "a", "an", "of", "and", "or", "to", "in", "for", "with", "by", "from", "which", "at", "on", "is", "are", "was", "were", "than", "as", "its", "their", "that", "between",
+    "der", "die", "das", "und", "oder", "den", "dem", "des", "mit", "von", "für", "zu", "im", "am", "auf", "bei", "ein", "eine", "einen",
+    "le", "la", "les", "du", "un", "une", "et", "ou", "dans", "pour", "par", "sur", "aux", "avec", "de",
+    "el", "los", "las", "del", "y", "o", "con", "para", "que", "una", "os", "um", "uma", "do", "da", "dos", "das", "em", "no", "na", "и", "в", "на", "с", "по", "для",
+}
+#: Plain business prose, from which the letter groups of each language are learnt.
+PROSE = {
+    "en": "They reported that its revenue was higher than in the year before, because of strong demand and new customers. What was the total amount of interest expense at the end of the fiscal year? According to the filing, net income came to several million and this is the figure which they gave. How much did the costs change between these years, and by how many percent? We have not been able to find it there. Management attributes the movement to lower prices, which were partly offset by other effects. It does not say when the agreement would end or who has approved it. Please compare both amounts from the table with each other. Yes, this is from the annual report; after that there had been no further charges.",
+    "de": "Das Unternehmen berichtete, dass die Erlöse im Geschäftsjahr höher waren als im Jahr davor, weil die Nachfrage stark gestiegen ist. Wie hoch war der Zinsaufwand am Ende des Jahres und welche Rückstellungen wurden gebildet? Laut dem Bericht beträgt der Gewinn mehrere Millionen, und diese Zahl ergibt sich aus der Tabelle. Der Vorstand führt die Entwicklung auf niedrigere Preise zurück, die zum Teil durch andere Wirkungen ausgeglichen wurden. Nach den Angaben der Gesellschaft sind keine weiteren Kosten angefallen, auch nicht für die Mitarbeiter. Um wie viel Prozent hat sich der Umsatz zwischen den beiden Jahren verändert? Es wird nicht gesagt, wann der Vertrag endet oder wer ihn genehmigt hat.",
+    "fr": "La société a indiqué que son chiffre d’affaires était plus élevé que l’année précédente, grâce à une forte demande et à de nouveaux clients. À combien s’élevaient les charges d’intérêts à la fin de l’exercice ? Selon le rapport, le résultat net a atteint plusieurs millions et c’est le montant qui figure dans le tableau. La direction explique cette évolution par la baisse des prix, compensée en partie par d’autres effets. De combien de pour cent les coûts ont-ils changé entre ces deux années ? Il n’est pas dit quand le contrat prend fin ni qui l’a approuvé. Aucune autre dépense n’a été constatée pour les salariés au cours de cette période.",
+    "es": "La compañía informó que sus ingresos fueron mayores que en el año anterior, debido a una fuerte demanda y a nuevos clientes. ¿Cuál fue el importe total de los gastos por intereses al cierre del ejercicio? Según el informe, el beneficio neto alcanzó varios millones y esta es la cifra que aparece en la tabla. La dirección explica el cambio por los precios más bajos, que se compensaron en parte con otros efectos. ¿En qué porcentaje cambiaron los costes entre estos dos años y cuántos empleados tenía? No se dice cuándo termina el contrato ni quién lo ha aprobado. No hubo otras pérdidas para los trabajadores durante el período.",
+    "pt": "A empresa informou que as suas receitas foram maiores do que no ano anterior, devido a uma forte procura e a novos clientes. Qual foi o valor total das despesas com juros no final do exercício? Segundo o relatório, o lucro líquido atingiu vários milhões e este é o número que aparece na tabela. A direção explica a mudança pelos preços mais baixos, que foram em parte compensados por outros efeitos. Em quantos por cento mudaram os custos entre estes dois anos e quantos empregados tinha? Não se diz quando termina o contrato nem quem o aprovou. Não houve outras perdas para os trabalhadores durante o período; também não há informações sobre isso.",
+    "it": "La società ha comunicato che i suoi ricavi sono stati più alti rispetto all’anno precedente, grazie a una forte domanda e a nuovi clienti. Qual è stato l’importo totale degli oneri finanziari alla fine dell’esercizio? Secondo la relazione, l’utile netto ha raggiunto diversi milioni e questa è la cifra che si trova nella tabella. La direzione spiega il cambiamento con i prezzi più bassi, compensati in parte da altri effetti. Di quanto sono cambiati i costi tra questi due anni e quanti dipendenti aveva? Non viene detto quando finisce il contratto né chi lo ha approvato. Non ci sono state altre perdite per i lavoratori nel corso del periodo.",
+    "nl": "Het bedrijf meldde dat de omzet hoger was dan in het jaar daarvoor, omdat de vraag sterk is gestegen en er nieuwe klanten zijn gekomen. Hoe hoog waren de rentelasten aan het einde van het boekjaar? Volgens het verslag bedroeg de nettowinst enkele miljoenen en dit is het cijfer dat in de tabel staat. De directie verklaart de ontwikkeling door lagere prijzen, die voor een deel werden gecompenseerd door andere effecten. Met hoeveel procent zijn de kosten tussen deze twee jaren veranderd? Er wordt niet gezegd wanneer de overeenkomst eindigt of wie deze heeft goedgekeurd. Er waren geen andere verliezen voor de werknemers.",
+    "pl": "Spółka poinformowała, że jej przychody były wyższe niż w poprzednim roku, ponieważ popyt wzrósł i pojawili się nowi klienci. Jaka była łączna kwota kosztów odsetek na koniec roku obrotowego? Według sprawozdania zysk netto wyniósł kilka milionów i jest to liczba, która znajduje się w tabeli. Zarząd tłumaczy tę zmianę niższymi cenami, częściowo wyrównanymi przez inne skutki. O ile procent zmieniły się koszty między tymi latami? Nie podano, kiedy umowa się kończy ani kto ją zatwierdził.",
+    "sv": "Bolaget rapporterade att intäkterna var högre än året innan, eftersom efterfrågan har ökat och nya kunder har tillkommit. Hur stora var räntekostnaderna i slutet av räkenskapsåret? Enligt rapporten uppgick nettoresultatet till flera miljoner och detta är den siffra som finns i tabellen. Ledningen förklarar utvecklingen med lägre priser, som delvis uppvägdes av andra effekter. Med hur många procent har kostnaderna förändrats mellan dessa år? Det sägs inte när avtalet upphör eller vem som har godkänt det.",
 }
-_WORDS_OF = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
+#: Letter groups learnt: their lengths; the count that each is given beforehand; and the nats by which a language must lead.
+GROUPS, BEFORE, LEAD = (1, 2, 3, 4), 0.4, 8.0
+#: Weight of a word that the prose lacks: many are names.
+STRANGE = 0.3
 _SCRIPTS = {"ru": re.compile("[Ѐ-ӿ]"), "el": re.compile("[Ͱ-Ͽ]"), "zh": re.compile("[぀-ヿ一-鿿]"), "ar": re.compile("[؀-ۿ]"), "hi": re.compile("[ऀ-ॿ]")}
-#: Product of word counts beyond which tiles are found through word pairs.
-LONG_PAIR = 1_000_000
 #: Labels before a copy or an answer.
 _LABEL = re.compile(r"^\W*(?:(?:final\s+)?answer|response|question|q|a|you asked|here is the question again|the question (?:was|is)|prompt|antwort|frage|réponse|question posée|respuesta|pregunta)\s*:\s*", re.I)
 _ANSWER_LINE = re.compile(r"(?im)^[ \t>*_#-]*(?:final\s+)?answer[*_ \t]*:[ \t]*(.*)$")
@@ -83,34 +102,67 @@ def is_empty(answer: str | None) -> bool:
     return answer is None or bare(answer) in PLACEHOLDERS
 
 
+def _free_runs(taken: list[bool]) -> list[int]:
+    """How many words from each place on are not taken."""
+    runs = [0] * (len(taken) + 1)
+    for i in range(len(taken) - 1, -1, -1):
+        runs[i] = 0 if taken[i] else runs[i + 1] + 1
+    return runs
+
+
+def _tile(a: list[str], q: list[str], taken: list[bool], used: list[bool], least: int) -> None:
+    """Marks the tiles of two word lists: the longest common runs of free words first, each word in one tile."""
+    mod, base = (1 << 61) - 1, 0x1F3D5B79
+    sums = []
+    for words in (a, q):
+        s = [0]
+        for w in words:
+            s.append((s[-1] * base + hash(w)) % mod)
+        sums.append(s)
+    power = [1]
+    for _ in range(min(len(a), len(q))):
+        power.append(power[-1] * base % mod)
+
+    def places(k: int, runs: list[int], n: int) -> Iterator[tuple[int, int]]:
+        s, p = sums[k], power[n]
+        return (((s[i + n] - s[i] * p) % mod, i) for i in range(len(runs) - n) if runs[i] >= n)
+
+    high = min(len(a), len(q))
+    while high >= least:
+        free_a, free_q = _free_runs(taken), _free_runs(used)
+        low, top = least - 1, min(high, max(free_a, default=0), max(free_q, default=0))
+        while low < top:  # the longest run that both have left
+            n = (low + top + 1) // 2
+            keys = {k for k, _ in places(1, free_q, n)}
+            low, top = (n, top) if any(k in keys for k, _ in places(0, free_a, n)) else (low, n - 1)
+        if low < least:
+            return
+        where: dict[int, list[int]] = {}
+        for k, j in places(1, free_q, low):
+            where.setdefault(k, []).append(j)
+        ends_a = ends_q = -1
+        for k, i in places(0, free_a, low):
+            if i < ends_a or k not in where:
+                continue
+            while where[k]:
+                j = where[k].pop(0)
+                if not any(used[j : j + low]) and a[i : i + low] == q[j : j + low]:
+                    taken[i : i + low] = used[j : j + low] = [True] * low
+                    ends_a, ends_q = i + low, j + low
+                    break
+        high = low - (ends_q < 0)
+
+
 def tiling(answer: list[str], question: list[str], least: int = 2) -> tuple[float, float]:
-    """Shares of the answer's and of the question's words that lie in common runs of at least `least` words,
-    the longest runs taken first; a run of the question may be repeated."""
+    """Shares of the answer's and of the question's words in the tiles of a greedy string tiling. An answer that says
+    the question again is tiled with it again, by runs of at least half of the question."""
     taken, used = [False] * len(answer), [False] * len(question)
-    if least == 2 and len(answer) * len(question) > LONG_PAIR:
-        # as runs may repeat, the tiles cover just the words of common pairs: found so, the time is linear
-        for mine, other, mark in ((answer, question, taken), (question, answer, used)):
-            common = set(zip(other, other[1:]))
-            for k, pair in enumerate(zip(mine, mine[1:])):
-                if pair in common:
-                    mark[k] = mark[k + 1] = True
-        return sum(taken) / len(answer), sum(used) / len(question)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(question):
-        places.setdefault(w, []).append(j)
-    runs = []
-    for i, w in enumerate(answer):
-        for j in places.get(w, ()):
-            if i and j and answer[i - 1] == question[j - 1]:
-                continue
-            n = 0
-            while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n]:
-                n += 1
-            if n >= least or len(question) == 1:
-                runs.append((-n, i, j))
-    for n, i, j in sorted(runs):
-        for k in range(-n):
-            taken[i + k] = used[j + k] = True
+    least = min(least, max(1, len(question)))
+    _tile(answer, question, taken, used, least)
+    again, before = max(least, (len(question) + 1) // 2), -1
+    while len(answer) - sum(taken) >= again and sum(taken) > before:
+        before = sum(taken)
+        _tile(answer, question, taken, [False] * len(question), again)
     return sum(taken) / max(1, len(answer)), sum(used) / max(1, len(question))
 
 
@@ -122,6 +174,9 @@ def is_copy(answer: str, question: str | None) -> bool:
     a = _WORD.findall("\n".join(_LABEL.sub("", x) for x in lines).lower())
     if len(a) > 3 * len(q) + 8 or not a:
         return False
+    own = set(q)
+    if sum(n for w, n in Counter(a).items() if w in own) < 0.8 * len(a):
+        return False  # words that the question lacks are in no tile
     of_answer, of_question = tiling(a, q)
     return of_answer >= 0.8 and of_question >= 0.5 and len(a) >= min(3, len(q))
 
@@ -142,50 +197,86 @@ def is_refusal(answer: str) -> bool:
     return declines and not gives_value(answer)
 
 
-def is_truncated(answer: str) -> bool:
-    """Pushdown parse of the whole answer."""
-    text = _INVISIBLE.sub("", answer).rstrip()
+_MARK = re.compile(r"```|\*\*|`|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>|[\"()\[\]{}“”„«»]")
+_ITEM = re.compile(r"^\s*(?:[-*•+–]|\(?\d{1,3}[.)]|\(?[a-z][.)])(?:\s+|$)(.*)$")
+#: Tags that need no end (fixed values).
+_OPTIONAL = {"br", "hr", "img", "input", "meta", "link", "wbr", "p", "li", "td", "th", "tr", "dt", "dd", "option"}
+
+
+def _open_marks(text: str) -> list[str]:
+    """The stack of a pushdown parse of fences, code, emphasis, tags, quotations and brackets at the end of the text."""
     stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if stack and stack[-1] == "```":
+
+    def toggle(mark: str) -> None:
+        if mark in stack:
+            while stack.pop() != mark:
+                pass
+        else:
+            stack.append(mark)
+
+    for m in _MARK.finditer(text):
+        c = m.group()
+        if stack and stack[-1] in ("```", "`"):
+            if c == stack[-1]:
                 stack.pop()
-            else:
-                stack.append("```")
-            i += 3
-            continue
-        if stack and stack[-1] == "```":
-            i += 1
-            continue
-        if text.startswith("**", i):
-            if "**" in stack:
-                while stack.pop() != "**":
-                    pass
-            else:
-                stack.append("**")
-            i += 2
-            continue
-        if c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
-                    pass
-            else:
-                stack.append('"')
+        elif m.group(2):
+            name = "<" + m.group(2).lower()
+            if m.group(1):
+                if name in stack:
+                    while stack.pop() != name:
+                        pass
+            elif not m.group(3) and name[1:] not in _OPTIONAL:
+                stack.append(name)
+        elif c in ("```", "**", "`"):
+            toggle(c)
+        elif c == '"':
+            # after a figure, with no quotation open, it means inches or seconds
+            if '"' in stack or not (m.start() and text[m.start() - 1].isdigit()):
+                toggle(c)
         elif stack and c in _OPEN.get(stack[-1], ""):
             stack.pop()
         elif c in _OPEN:
             stack.append(c)
-        elif c in _CLOSE:
+        else:
             for k in range(len(stack) - 1, -1, -1):
                 if c in _OPEN.get(stack[k], ""):
                     del stack[k:]
                     break
-        i += 1
-    if any(x in stack for x in ("```", "**", '"', "(", "[", "{", "“", "„", "«")):
+    return stack
+
+
+def _stops_short(end: str) -> bool:
+    """Whether a piece of text stops at a word or sign that nothing ends with."""
+    last = re.search(r"[^\W\d_]+$", end)
+    return not end or end[-1] in ",;:$€£(-–—/&+=<" or bool(_UNFINISHED.search(end)) or bool(last and last.group().lower() in NO_END)
+
+
+def _list_goes_on(lines: list[str], end: str) -> bool:
+    """Whether the last line, a list item, is cut off: the items before it tell whether one ends with a full stop."""
+    if _stops_short(end):
         return True
-    last = text.rsplit("\n", 1)[-1].strip()
+    if end[-1] in _END:
+        return False
+    before = []
+    for line in reversed(lines[:-1]):
+        if (m := _ITEM.match(line)) is not None:
+            before.append(_bare_end(m.group(1)))
+        elif line.strip() and not line[0].isspace():
+            break
+    return not any(x and x[-1] not in _END for x in before)
+
+
+def _bare_end(text: str) -> str:
+    return text.rstrip("\"”»“')]}*_`’ ")
+
+
+def is_truncated(answer: str) -> bool:
+    """Pushdown parse of the whole answer."""
+    text = _INVISIBLE.sub("", answer).rstrip()
+    if _open_marks(text) or re.search(r"</?[A-Za-z][^<>\n]{0,200}$", text):
+        return True
+    lines = text.split("\n")
+    last = lines[-1].strip()
     if last.startswith("```"):
         return False
     if (m := _ANSWER_LINE.match(last)) is not None:
@@ -193,9 +284,11 @@ def is_truncated(answer: str) -> bool:
         return not value or value[-1] in ",:;$€£(-–—/" or bool(_UNFINISHED.search(value))
     if last.startswith("|"):
         return not last.endswith("|") or last.count("|") < 3 or not last.strip("| ") or _fewer_cells(text)
-    end = last.rstrip("\"”»“')]}*_`’ ")
+    end = _bare_end(re.sub(r"(?:</[A-Za-z]+>\s*)+$", "", last))
     if _VALUE.match(end.rstrip(".")) and not end.endswith((",", "-")):
         return False
+    if (m := _ITEM.match(lines[-1])) is not None:
+        return _list_goes_on(lines, _bare_end(re.sub(r"(?:</[A-Za-z]+>\s*)+$", "", m.group(1))))
     return not end or end[-1] not in _END or bool(_UNFINISHED.search(end))
 
 
@@ -204,26 +297,76 @@ def _fewer_cells(text: str) -> bool:
     return rows[-1].count("|") < rows[0].count("|")
 
 
-def language(text: str, default: str | None = None) -> str | None:
-    """Language by script, else by function words outside quotations; the default where nothing tells."""
-    text = re.sub(r"„[^“”]*[“”]|“[^”]*”|«[^»]*»|\"[^\"]*\"", " ", text)
+class Languages:
+    """Log likelihood of words by the groups of letters of each language, learnt from PROSE."""
+
+    def __init__(self, prose: dict[str, str]):
+        self.names = list(prose)
+        counts = [Counter(g for w in _letters(text) for g in self.groups(w)) for text in prose.values()]
+        known = set().union(*counts)
+        per = {n: [sum(c for g, c in own.items() if len(g) == n) for own in counts] for n in {len(g) for g in known}}
+        kinds = Counter(len(g) for g in known)
+        self.gain = {g: np.array([math.log((own[g] + BEFORE) / (per[len(g)][k] + BEFORE * kinds[len(g)])) for k, own in enumerate(counts)]) for g in known}
+        for v in self.gain.values():
+            v -= v.mean()
+        self.usual, self.words = {w for text in prose.values() for w in _letters(text)}, {}
+        self.rows = np.zeros((1024, len(self.names)))
+
+    @staticmethod
+    def groups(word: str) -> list[str]:
+        w = f"_{word}_"
+        return [w[i : i + n] for n in GROUPS for i in range(len(w) - n + 1) if n > 1 or w[i] != "_"] + ([w] if len(w) > max(GROUPS) else [])
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Nats by which each language is likelier than the average, over the words; groups overlap, so they count in part."""
+        if len(self.words) + len(words) > 1 << 18:
+            self.words.clear()
+        at = []
+        for w in words:
+            if (k := self.words.get(w)) is None:
+                k = self.words[w] = len(self.words)
+                if k == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                own = [v for g in self.groups(w) if (v := self.gain.get(g)) is not None]
+                self.rows[k] = np.clip(np.sum(own, axis=0) / len(GROUPS), -4, 4) * (1.0 if w in self.usual else STRANGE) if own else 0.0
+            at.append(k)
+        return self.rows[at].sum(axis=0)
+
+
+@cache
+def languages() -> Languages:
+    return Languages(PROSE)
+
+
+def _letters(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
+def script(text: str) -> str | None:
+    if text.isascii():
+        return None
     letters = sum(c.isalpha() for c in text)
-    for name, script in _SCRIPTS.items():
-        if letters and len(script.findall(text)) > 0.4 * letters:
-            return name
-    words = re.findall(r"[^\W\d_]+(?:’[^\W\d_]+)?", text.lower())
-    words = [p for w in words for p in ([w] if "’" not in w else w.split("’"))]
-    score = {lang: sum(w in own for w in words) for lang, own in _WORDS_OF.items()}
-    best = max(score, key=lambda x: score[x])
-    second = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= 2 and score[best] > second else default
+    return next((name for name, own in _SCRIPTS.items() if letters and len(own.findall(text)) > 0.4 * letters), None)
+
+
+def language(text: str, default: str | None = None) -> str | None:
+    """Language by script, else by letter groups; the default where no language leads it clearly."""
+    if (own := script(text)) is not None:
+        return own
+    known = languages()
+    score = known.scores(_letters(text))
+    best = int(score.argmax())
+    other = known.names.index(default) if default in known.names else int(np.argsort(score)[-2])
+    return known.names[best] if best != other and score[best] - score[other] >= LEAD else default
 
 
 def is_other_language(answer: str, question: str | None, default: str = "en") -> bool:
+    """Whether the answer, without quotations and answer lines, is in another language than the question."""
     if not question:
         return False
-    said = language(_ANSWER_LINE.sub("", answer))
-    return said is not None and said != language(question, default)
+    asked = language(question, default)
+    said = re.sub(r"</?[A-Za-z][^<>]*>|„[^“”]*[“”]|“[^”]*”|«[^»]*»|\"[^\"]*\"", " ", _ANSWER_LINE.sub("", answer))
+    return language(said, asked) != asked
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
