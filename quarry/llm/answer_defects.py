@@ -191,10 +191,11 @@ def gives_value(answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
+    if gives_value(answer):
+        return False
     values = [v.strip(" \t*_`.").lower() for v in _ANSWER_LINE.findall(answer)]
     prose = _ANSWER_LINE.sub("", answer)
-    declines = bool(_REFUSAL.search(prose)) or (bool(values) and all(v in NO_VALUES - {""} for v in values) and not _FIGURE.search(prose))
-    return declines and not gives_value(answer)
+    return bool(_REFUSAL.search(prose)) or (bool(values) and all(v in NO_VALUES - {""} for v in values) and not _FIGURE.search(prose))
 
 
 _MARK = re.compile(r"```|\*\*|`|<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>|[\"()\[\]{}“”„«»]")
