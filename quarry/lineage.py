@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Uses the checkpoint folder the cluster names; sets an own one only where none is named."""
+    """Uses the checkpoint folder the cluster names. Where none is named, a session on one machine gets a temporary one, removed
+    at the end of the process; a cluster is refused, since its executors share no folder that could be guessed."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        if named is None:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder, so that later reads neither recompute it nor depend on an executor."""
+    """Writes df to the checkpoint folder, so that later reads neither recompute it nor depend on an executor. With
+    spark.cleaner.referenceTracking.cleanCheckpoints the session removes it once nothing refers to it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    shared_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
