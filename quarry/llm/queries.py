@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import answer_defects, eval_leaks, mojibake, name_variants, near_dupes, nn_forest, pack, repeated_lines, split_long, tokenize_bpe
-from quarry.llm.base import table
+from quarry.llm.base import shared_path, stored, table
 
 LIMIT, OVERLAP, CAPACITY, REPEATS = 1500, 100, 1500, 10
 
@@ -41,32 +41,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nn_forest.pairs(p4_nearest(spark, d))
 
 
-def _line_docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("id", F.col("filing_stem").alias("source"), F.col("chunk_index").alias("position"), "text", "ingested_at")
-
-
-def _crossed(docs: DataFrame) -> DataFrame:
-    return repeated_lines.crossed(repeated_lines.merge(None, repeated_lines.delta(docs), REPEATS), REPEATS)
+def _merged_lines(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], repeated_lines.LineCounts]:
+    """The lines of all chunks with the number of their merge, what each merge newly crossed, and the state: chunks of the first
+    half of the loading time are one partition, the later ones a delta to it."""
+    c = table(spark, d, "chunks")
+    middle = c.select(F.expr("timestamp_micros((unix_micros(min(ingested_at)) + unix_micros(max(ingested_at))) div 2)").alias("middle"))
+    merge = F.when(F.col("ingested_at") >= F.col("middle"), 1).otherwise(0)
+    docs = c.select("id", F.col("filing_stem").alias("source"), F.col("chunk_index").alias("position"), "text", "ingested_at").join(F.broadcast(middle)).withColumn("merge", merge)
+    all_lines = stored(repeated_lines.lines(docs, "merge"), "lines")
+    counts = repeated_lines.LineCounts(spark, shared_path(spark, "line-counts"), REPEATS)
+    return all_lines, [stored(counts.merge(all_lines.where(F.col("merge") == k)), "crossed") for k in (0, 1)], counts
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = _line_docs(spark, d)
-    return repeated_lines.occurrences(docs, _crossed(docs))
+    all_lines, (first, second), _ = _merged_lines(spark, d)
+    return repeated_lines.occurrences(all_lines, first.unionByName(second))
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    docs = _line_docs(spark, d)
-    return repeated_lines.rebuild(docs.select("id", "source", "position", "text"), _crossed(docs))
+    return repeated_lines.rebuild(table(spark, d, "chunks"), p5_found(spark, d))
 
 
 def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The first half of the loading time as one partition, the other rows as a delta: (source, n) newly crossed lines."""
-    docs = _line_docs(spark, d)
-    middle = docs.agg(F.timestamp_micros(((F.unix_micros(F.min("ingested_at")) + F.unix_micros(F.max("ingested_at"))) / 2).cast("long")).alias("t")).first()["t"]
-    first = F.coalesce(F.col("ingested_at") < F.lit(middle), F.lit(True))
-    before = repeated_lines.merge(None, repeated_lines.delta(docs.where(first)), REPEATS)
-    after = repeated_lines.merge(before, repeated_lines.delta(docs.where(~first)), REPEATS)
-    return repeated_lines.newly_crossed(before, after, REPEATS).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Documents that the second partition's merge has rebuilt: older ones with a line that it makes cross, and its own."""
+    all_lines, (_, second), counts = _merged_lines(spark, d)
+    return repeated_lines.to_rebuild(all_lines, 1, second, counts.crossed())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +132,9 @@ r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS n FR
         "p5_found": f"WITH {_LINES} SELECT id, line_no FROM gone",
         "p5_cleaned": f"""WITH {_LINES}, g AS (SELECT id, list(line_no) AS ns FROM gone GROUP BY id)
 SELECT c.id, coalesce(array_to_string(list_filter(string_split(c.text, chr(10)), lambda x, i: NOT list_contains(g.ns, i)), chr(10)), '') AS text FROM chunks c JOIN g USING (id)""",
+        "p5_incremental": f"""WITH {_LINES.replace("AS (SELECT id, filing_stem,", "AS (SELECT id, ingested_at, filing_stem,")}, m AS (SELECT (epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2 AS m FROM chunks), o AS (SELECT l.*, coalesce(epoch_us(ingested_at) >= m, false) AS late FROM l, m),
+f1 AS (SELECT filing_stem, k FROM o WHERE NOT late AND regexp_matches(k, '[a-z]') GROUP BY 1, 2 HAVING count(DISTINCT chunk_index) >= 10)
+SELECT DISTINCT id FROM o JOIN f USING (filing_stem, k) LEFT JOIN (SELECT filing_stem, k, true AS early FROM f1) USING (filing_stem, k) WHERE late OR early IS NULL""",
         "p6_found": f"""WITH w AS (SELECT id, {_WORDS.format(x="text")} AS w FROM chunks WHERE text IS NOT NULL), s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 25)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id), j AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
 SELECT x AS id_a, y AS id_b FROM j JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE k >= 0.7 * (p.n + q.n - k) - 1e-9""",

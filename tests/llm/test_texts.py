@@ -86,27 +86,41 @@ def test_encode_rows(spark, reference, tmp_path):
 # ---- repeated lines
 
 
-def test_state_is_the_same_in_one_or_many_merges(spark):
+def test_state_is_the_same_in_one_or_many_merges(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(i, rng.choice(["s", "t", None]), rng.randrange(14), "\n".join(rng.choice(["Share this!", "By A. B", "Page 12", "Page 9", "", "42", f"own {i}"]) for _ in range(4))) for i in range(150)]
-    df = spark.createDataFrame(rows, "id long, source string, position int, text string")
-    one = repeated_lines.merge(None, repeated_lines.delta(df))
-    first = repeated_lines.merge(None, repeated_lines.delta(df.where("id < 70")))
-    both = repeated_lines.merge(first, repeated_lines.delta(df.where("id >= 70")))
+    rows = [(i, rng.choice(["s", "t", None]), rng.randrange(14), "\n".join(rng.choice(["Share this!", "By A. B", "Page 12", "Page 9", "", "42", f"own {i}"]) for _ in range(4)), min(2, i // 60)) for i in range(150)]
+    rows += [(900, "only here", 1, "one line", 2), (901, "s", 1, None, 0)]
+    df = spark.createDataFrame(rows, "id long, source string, position int, text string, merge int")
+    every = repeated_lines.lines(df, "merge")
+    one, many = (repeated_lines.LineCounts(spark, str(tmp_path / n)) for n in ("one", "many"))
     as_set = lambda x: {tuple(r) for r in x.collect()}
-    assert as_set(repeated_lines.crossed(one)) == as_set(repeated_lines.crossed(both))
-    assert as_set(repeated_lines.newly_crossed(first, both)) == as_set(repeated_lines.crossed(both)) - as_set(repeated_lines.crossed(first))
+    whole = as_set(one.merge(every))
+    fresh = [many.merge(every.where(f"merge = {k}")) for k in (0, 1)]
+    kept = as_set(many.rows())
+    fresh.append(many.merge(every.where("merge = 2")))
+    sets = [as_set(f) for f in fresh]
+    assert whole == set().union(*sets) == as_set(many.crossed()) == as_set(one.crossed()) and sum(map(len, sets)) == len(whole) > 0
+    assert len(kept) < len(as_set(many.rows())) and as_set(many.rows()) == as_set(one.rows())
+    assert as_set(many.merge(every.where("merge = 1"))) == set()  # a partition that comes again adds nothing
+    many.vacuum()
+    assert as_set(many.rows()) == as_set(one.rows())
     normal = lambda s: re.sub("[0-9]+", "#", re.sub("[^a-z0-9]+", " ", s.lower()).strip())
-    seen = {}
-    for _, s, p, text in rows:
-        for line in text.split("\n"):
+    seen, at = {}, {}
+    for i, s, p, text, _ in rows:
+        for line in (text or "").split("\n"):
             if s and re.search("[a-z]", normal(line)):
                 seen.setdefault((s, normal(line)), set()).add(p)
-    want = {(i, n) for i, s, _, text in rows for n, line in enumerate(text.split("\n"), 1) if len(seen.get((s, normal(line)), ())) >= 10}
-    full = repeated_lines.crossed(one)
-    assert want and as_set(repeated_lines.occurrences(df, full)) == want
-    cleaned = {r.id: r.text for r in repeated_lines.rebuild(df, full).collect()}
-    assert cleaned == {i: "\n".join(x for n, x in enumerate(text.split("\n"), 1) if (i, n) not in want) for i, _, _, text in rows if any(j == i for j, _ in want)}
+                at.setdefault((s, normal(line)), set()).add(i)
+    want = {(i, n) for i, s, _, text, _ in rows if text for n, line in enumerate(text.split("\n"), 1) if len(seen.get((s, normal(line)), ())) >= 10}
+    gone = repeated_lines.occurrences(every, one.crossed())
+    assert want and as_set(gone) == want
+    cleaned = {r.id: r.text for r in repeated_lines.rebuild(df, gone).collect()}
+    assert cleaned == {i: "\n".join(x for n, x in enumerate(text.split("\n"), 1) if (i, n) not in want) for i, _, _, text, _ in rows if any(j == i for j, _ in want)}
+    rebuilt = {r.id for r in repeated_lines.to_rebuild(every, 2, fresh[2], many.crossed()).collect()}
+    newly = sets[2]
+    hashes = {(r.id, r.source, r.h1, r.h2) for r in every.collect()}
+    late = {i for i, *_, m in rows if m == 2}
+    assert rebuilt == {i for i, *k in hashes if tuple(k) in (whole if i in late else newly)}
 
 
 # ---- answers
