@@ -45,9 +45,9 @@ def _merged_lines(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFram
     """The lines of all chunks with the number of their merge, what each merge newly crossed, and the state: chunks of the first
     half of the loading time are one partition, the later ones a delta to it."""
     c = table(spark, d, "chunks")
-    middle = c.select(F.expr("timestamp_micros((unix_micros(min(ingested_at)) + unix_micros(max(ingested_at))) div 2)").alias("middle"))
-    merge = F.when(F.col("ingested_at") >= F.col("middle"), 1).otherwise(0)
-    docs = c.select("id", F.col("filing_stem").alias("source"), F.col("chunk_index").alias("position"), "text", "ingested_at").join(F.broadcast(middle)).withColumn("merge", merge)
+    middle = c.select(F.expr("(unix_micros(min(ingested_at)) + unix_micros(max(ingested_at))) div 2").alias("middle")).first()["middle"]
+    merge = F.when(F.unix_micros("ingested_at") >= F.lit(middle), 1).otherwise(0)
+    docs = c.select("id", F.col("filing_stem").alias("source"), F.col("chunk_index").alias("position"), "text", merge.alias("merge"))
     all_lines = stored(repeated_lines.lines(docs, "merge"), "lines")
     counts = repeated_lines.LineCounts(spark, shared_path(spark, "line-counts"), REPEATS)
     return all_lines, [stored(counts.merge(all_lines.where(F.col("merge") == k)), "crossed") for k in (0, 1)], counts
