@@ -5,16 +5,24 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as tx
+from quarry.lineage import cut
+from quarry.model import filing_stem
+from quarry.sources.files import file_index
 
 #: Token budgets and the repeats of a running header (fixed values).
 MIN_TOKENS, TARGET_TOKENS, MAX_TOKENS, MAX_TITLE_TOKENS, HEADER_REPEATS = 200, 900, 1500, 100, 10
 
+#: Contexts of a question set that are permuted on the driver, at most.
+MOST_CONTEXTS = 2_000_000
+
 
 def preflight(chunks: DataFrame, expected: dict[str, int]) -> DataFrame:
     """(variant, n_rows, n_embedded, delta, ok) against the expected rows; variants of one side only are listed too."""
@@ -32,10 +40,14 @@ def ready(chunks: DataFrame, expected: dict[str, int]) -> bool:
 
 def filing_stats(chunks: DataFrame) -> DataFrame:
     """(filing_stem, n_chunks, median_tokens, max_tokens): the median is the upper one, 0 where no count is known."""
-    tokens = F.array_sort(F.collect_list("n_tokens"))
-    stats = chunks.groupBy("filing_stem").agg(F.count(F.lit(1)).alias("n_chunks"), tokens.alias("t"))
-    median = F.coalesce(F.get("t", F.floor(F.size("t") / 2).cast("int")), F.lit(0))
-    return stats.select("filing_stem", "n_chunks", median.alias("median_tokens"), F.coalesce(F.array_max("t"), F.lit(0)).alias("max_tokens"))
+    each = chunks.groupBy("filing_stem", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    known = Window.partitionBy("filing_stem")
+    n = F.when(F.col("n_tokens").isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(n).over(known.orderBy(F.asc_nulls_first("n_tokens")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = each.select("filing_stem", "n_tokens", "n", upto.alias("upto"), F.sum(n).over(known).alias("all"))
+    middle = F.min(F.when((F.col("upto") > F.floor(F.col("all") / 2)) & F.col("n_tokens").isNotNull(), F.col("n_tokens")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return ranked.groupBy("filing_stem").agg(F.sum("n").alias("n_chunks"), zero(middle).alias("median_tokens"), zero(F.max("n_tokens")).alias("max_tokens"))
 
 
 def block_stats(blocks: DataFrame) -> DataFrame:
@@ -60,15 +72,13 @@ def targets(questions: DataFrame) -> DataFrame:
     known = questions.dropna(subset=["company_cik", "report_year"])
     first = F.min_by(F.struct("company_symbol"), F.struct("id", "company_symbol")).alias("f")
     one = known.groupBy("company_cik", "report_year").agg(first).select(F.col("f.company_symbol").alias("company_symbol"), "report_year", "company_cik")
-    stem = F.concat_ws("_", "company_symbol", F.col("report_year").cast("string"), F.col("company_cik").cast("string"))
-    return one.select(stem.alias("filing_stem"), "company_symbol", "report_year", "company_cik")
+    return one.select(filing_stem(F.col("company_symbol"), F.col("report_year"), F.col("company_cik")).alias("filing_stem"), "company_symbol", "report_year", "company_cik")
 
 
 def matched_questions(questions: DataFrame, stems: DataFrame, subsets: tuple[str, ...] = ("FinQA", "ConvFinQA")) -> DataFrame:
     """Questions of the subsets whose (cik, year) has a filing among stems (filing_stem), with that stem; of several stems of
     one (cik, year) the last by name counts."""
-    parts = stems.where("filing_stem IS NOT NULL").distinct().select("filing_stem", F.regexp_extract("filing_stem", r"^(.*)_(\d+)_(\d+)$", 2).alias("y"), F.regexp_extract("filing_stem", r"^(.*)_(\d+)_(\d+)$", 3).alias("c")).where("y <> ''")
-    index = parts.groupBy(F.col("c").cast("long").alias("company_cik"), F.col("y").cast("int").alias("report_year")).agg(F.max("filing_stem").alias("filing_stem"))
+    index = file_index(stems.where("filing_stem IS NOT NULL").distinct().select(F.concat("filing_stem", F.lit(".json")).alias("name")))
     return questions.where(F.col("subset_source").isin(*subsets)).dropna(subset=["company_cik", "report_year"]).join(index, ["company_cik", "report_year"])
 
 
@@ -92,40 +102,35 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
+def full_runs(sizes: list[int], room: int) -> Iterator[tuple[int, int]]:
+    """Consecutive runs (from, to) of sizes whose sum stays within the room, each as long as can be; a size beyond it stands alone."""
+    total = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + room, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def split_table(rows: list[list[str]], count: Callable[[str], int] = word_count, limit: int = MAX_TOKENS) -> list[str]:
     """Row groups of a table within the limit, each under the header row; a lone row may exceed it."""
-    lines = [" | ".join(r) for r in rows]
-    if not lines:
+    if not rows:
         return []
-    head, out = lines[0], []
-    held, size = [head], count(head)
-    for line in lines[1:]:
-        n = count(line)
-        if len(held) > 1 and size + n > limit:
-            out.append("\n".join(held))
-            held, size = [head], count(head)
-        held.append(line)
-        size += n
-    return [*out, "\n".join(held)]
+    head, *lines = (" | ".join(r) for r in rows)
+    runs = full_runs([count(x) for x in lines], limit - count(head)) if lines else [(0, 0)]
+    return ["\n".join([head, *lines[a:b]]) for a, b in runs]
 
 
 def split_text(text: str, count: Callable[[str], int] = word_count, limit: int = MAX_TOKENS) -> list[str]:
     """Sentences packed within the limit; a sentence beyond it is cut into windows of that many words."""
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for sentence in re.split(r"(?<=[.!?])\s+", " ".join(text.split())):
-        n = count(sentence)
-        if held and (size + n > limit):
-            out.append(" ".join(held))
-            held, size = [], 0
-        if n > limit:
-            parts = sentence.split()
-            out += [" ".join(parts[i : i + limit]) for i in range(0, len(parts), limit)]
-        else:
-            held.append(sentence)
-            size += n
-    return [*out, " ".join(held)] if held else out
+    sentences = re.split(r"(?<=[.!?])\s+", " ".join(text.split())) if text.strip() else []
+    sizes = [count(x) for x in sentences]
+    out = []
+    for a, b in full_runs(sizes, limit):
+        words = sentences[a].split() if sizes[a] > limit else [" ".join(sentences[a:b])]
+        step = limit if sizes[a] > limit else 1
+        out += [" ".join(words[i : i + step]) for i in range(0, len(words), step)]
+    return out
 
 
 def atoms(blocks: DataFrame, count: Callable[[str], int] = word_count) -> DataFrame:
@@ -137,7 +142,7 @@ def atoms(blocks: DataFrame, count: Callable[[str], int] = word_count) -> DataFr
     flagged = blocks.withColumn("head", tx.title_key(F.col("text"))).join(heads, ["filing_stem", "head"], "left")
     flagged = flagged.withColumn("furniture", tx.is_furniture(F.coalesce("text", F.lit("")), F.col("running")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for stem, index, text, title, rows, furn in zip(*(c.to_pylist() for c in batch.columns)):
@@ -150,107 +155,119 @@ def atoms(blocks: DataFrame, count: Callable[[str], int] = word_count) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()))], names=["filing_stem", "atom_index", "text", "tokens", "is_title", "is_table", "is_furniture"])
 
     cols = flagged.select("filing_stem", F.coalesce(F.col("block_index").cast("long"), F.lit(0)).alias("block_index"), "text", "is_title", "rows", "furniture")
-    return cols.mapInArrow(cut, "filing_stem string, atom_index long, text string, tokens int, is_title boolean, is_table boolean, is_furniture boolean")
-
+    return cols.mapInArrow(divide, "filing_stem string, atom_index long, text string, tokens int, is_title boolean, is_table boolean, is_furniture boolean")
+
+
+def chunk_ends(tokens: np.ndarray, title: np.ndarray, table: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Where a filing's chunks end: for each atom the number of chunks that are closed before it. Titles take no room; a chunk is
+    closed by a title once it holds TARGET_TOKENS, and by an atom that would bring it beyond MAX_TOKENS, or beyond TARGET_TOKENS
+    unless that is a table which still fits with the text right after it."""
+    sums = np.cumsum(np.where(title, 0, tokens))
+    body, titles = np.flatnonzero(~title), np.flatnonzero(title)
+    fits = sums + np.where(table, ahead, np.iinfo(np.int32).max)  # beyond any room unless it is a table
+    closed = np.zeros(len(tokens), np.int64)
+    at = 0  # the next body atom begins a chunk
+    while at < len(body):
+        first = body[at]
+        base = sums[first] - tokens[first]
+        end = len(tokens)
+        later = titles[np.searchsorted(titles, first) :]
+        full = later[np.searchsorted(sums[later], base + TARGET_TOKENS) :]
+        if len(full):
+            end = full[0]
+        rest = body[at + 1 :]
+        over = rest[np.searchsorted(sums[rest], base + TARGET_TOKENS, "right") :]
+        for i in over[: np.searchsorted(over, end)]:
+            if fits[i] > base + MAX_TOKENS:
+                end = i
+                break
+        if end == len(tokens):
+            break
+        closed[end:] += 1
+        at = int(np.searchsorted(body, end))
+    return closed
+
+
+def folded(sized: np.ndarray) -> np.ndarray:
+    """For each chunk of a filing the chunk it ends up in: one under MIN_TOKENS joins the one before, where both fit."""
+    into, held = np.arange(len(sized)), 0
+    for i, n in enumerate(sized):
+        if i and n < MIN_TOKENS and held + n <= MAX_TOKENS:
+            into[i] = into[i - 1]
+            held += n
+        else:
+            held = n
+    return np.unique(into, return_inverse=True)[1] if len(into) else into
 
-class Packer:
-    """Token-budget packing of one filing's atoms, given one at a time, with one atom of look-ahead. It holds the atoms
-    of the chunk being filled and the last finished chunk, so a filing of any length passes through."""
 
-    def __init__(self, count: Callable[[str], int]):
-        self.count = count
-        self.heading: str | None = None  # the section in force
-        self.sizing: str | None = None  # the last title of any kind: it only sizes the fold-back
-        self.held: list[tuple[str, str | None]] = []
-        self.size = 0
-        self.done: dict | None = None
+def _rendered(rows: DataFrame, count: Callable[[str], int], sizing: bool) -> DataFrame:
+    """(filing_stem, no, heading, text, n, sized) of rows (filing_stem, no, parts, last title): headings above the bodies. sized counts the
+    chunk as it would be under the title in force at its end alone."""
 
-    def _render(self, headings: list[str], bodies: list[str]) -> tuple[str | None, str, int]:
+    def one(headings: list[str], bodies: list[str]) -> tuple[str | None, str]:
         head = "\n# ".join(headings) if headings else None
-        body = "\n\n".join(bodies)
-        text = f"# {head}\n\n{body}" if head else body
-        return head, text, self.count(text)
-
-    def close(self) -> list[dict]:
-        """Ends the chunk being filled; gives the chunk before it, if nothing can be folded into that any more."""
-        if not self.held:
-            return []
-        headings, bodies = list(dict.fromkeys(h for _, h in self.held if h)), [t for t, _ in self.held]
-        head, text, n = self._render(headings, bodies)
-        sized = n if head == self.sizing else self._render([self.sizing] if self.sizing else [], bodies)[2]
-        self.held, self.size = [], 0
-        last = self.done
-        if last and sized < MIN_TOKENS and last["sized"] + sized <= MAX_TOKENS:
-            last["headings"] = list(dict.fromkeys(last["headings"] + headings))
-            last["bodies"] += bodies
-            last["sized"] += sized
-            last["heading"], last["text"], last["n_tokens"] = self._render(last["headings"], last["bodies"])
-            return []
-        self.done = {"headings": headings, "bodies": bodies, "sized": sized, "heading": head, "text": text, "n_tokens": n}
-        return [last] if last else []
-
-    def add(self, atom: dict, following: dict | None) -> list[dict]:
-        if atom["is_title"]:
-            out = self.close() if self.size >= TARGET_TOKENS else []
-            self.sizing = atom["text"]
-            if not atom["is_furniture"]:
-                self.heading = atom["text"]
-            return out
-        ahead = following["tokens"] if atom["is_table"] and following and not following["is_title"] and not following["is_table"] else 0
-        projected = self.size + atom["tokens"]
-        stays = atom["is_table"] and projected + ahead <= MAX_TOKENS
-        out = self.close() if self.held and (projected > MAX_TOKENS or (projected > TARGET_TOKENS and not stays)) else []
-        self.held.append((atom["text"], self.heading))
-        self.size += atom["tokens"]
-        return out
-
-    def end(self) -> list[dict]:
-        out = self.close()
-        last, self.done = self.done, None
-        return [*out, last] if last else out
+        text = "\n\n".join(bodies)
+        return head, f"# {head}\n\n{text}" if headings else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stem, no, parts, last in zip(*(c.to_pylist() for c in batch.columns)):
+                bodies = [p["text"] for p in parts]
+                head, text = one(list(dict.fromkeys(p["heading"] for p in parts if p["heading"])), bodies)
+                n = count(text)
+                out.append((stem, no, head, text, n, n if not sizing or head == last else count(one([last] if last else [], bodies)[1])))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["filing_stem", "no", "heading", "text", "n", "sized"])
+
+    return rows.select("filing_stem", "no", "parts", "last").mapInArrow(run, "filing_stem string, no int, heading string, text string, n int, sized int")
 
 
 def pack_chunks(atom_rows: DataFrame, count: Callable[[str], int] = word_count) -> DataFrame:
-    """(filing_stem, chunk_index, heading, n_tokens, text) of atoms in atom_index order. Filings are sorted inside their partitions and
-    stream through; memory holds two chunks, not a filing. Null tokens are counted from the text, null flags are false."""
+    """(filing_stem, chunk_index, heading, n_tokens, text) of atoms in atom_index order. Where chunks end, and which of them fold
+    into the one before, is decided for a filing on bare numbers; texts meet the decision by place and are put together
+    chunk by chunk, so that no task holds a filing's texts. Null tokens are counted from the text (by words), negative ones
+    are none, null flags are false."""
     fill = {"is_title": False, "is_table": False, "is_furniture": False}
     rows = atom_rows.select("filing_stem", "atom_index", F.coalesce("text", F.lit("")).alias("text"), "tokens", *fill).na.fill(fill)
-    rows = rows.repartition("filing_stem").sortWithinPartitions("filing_stem", "atom_index", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stem, packer, waiting, n = None, None, None, 0
-        out: list[tuple] = []
-
-        def emit(chunks: list[dict]) -> None:
-            nonlocal n
-            for c in chunks:
-                out.append((stem, n, c["heading"], c["n_tokens"], c["text"]))
-                n += 1
-
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 5
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()))], names=["filing_stem", "chunk_index", "heading", "n_tokens", "text"])
-            out.clear()
-            return made
-
-        started = False
-        for batch in batches:
-            for atom in batch.to_pylist():
-                if atom["tokens"] is None:
-                    atom["tokens"] = count(atom["text"])
-                if not started or atom["filing_stem"] != stem:
-                    if started:
-                        emit(packer.add(waiting, None) + packer.end())
-                    stem, packer, waiting, n, started = atom["filing_stem"], Packer(count), atom, 0, True
-                    continue
-                emit(packer.add(waiting, atom))
-                waiting = atom
-            yield batch_of()
-        if started:
-            emit(packer.add(waiting, None) + packer.end())
-            yield batch_of()
-
-    return rows.mapInArrow(run, "filing_stem string, chunk_index int, heading string, n_tokens int, text string")
+    counted = F.pandas_udf(lambda s: s.map(count), "int")
+    tokens = F.greatest(F.coalesce("tokens", F.when(F.col("tokens").isNull(), counted("text"))), F.lit(0))
+    order = Window.partitionBy("filing_stem").orderBy("atom_index", "text")
+    nxt = F.lead(F.struct("tokens", "is_title", "is_table")).over(order)
+    plain = nxt.isNotNull() & ~nxt["is_title"] & ~nxt["is_table"]
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    shown = F.when(F.col("is_title") & ~F.col("is_furniture"), F.col("text"))
+    placed = cut(
+        rows.withColumn("tokens", tokens).select(
+            "filing_stem", F.row_number().over(order).alias("pos"), "text", "tokens", "is_title", "is_table", F.when(plain, nxt["tokens"]).otherwise(0).alias("ahead"),
+            F.last(shown, ignorenulls=True).over(before).alias("heading"), F.last(F.when(F.col("is_title"), F.col("text")), ignorenulls=True).over(before).alias("title"),
+        )
+    )
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("pos")
+        closed = chunk_ends(p["tokens"].to_numpy(np.int64), p["is_title"].to_numpy(bool), p["is_table"].to_numpy(bool), p["ahead"].to_numpy(np.int64))
+        return pd.DataFrame({"filing_stem": p["filing_stem"], "pos": p["pos"], "no": closed})
+
+    ends = placed.select("filing_stem", "pos", "tokens", "is_title", "is_table", "ahead").groupBy("filing_stem").applyInPandas(decide, "filing_stem string, pos int, no int")
+    e = ends.withColumnsRenamed({"filing_stem": "s", "pos": "p"})
+    marked = placed.join(e, placed.filing_stem.eqNullSafe(e.s) & (placed.pos == e.p)).drop("s", "p")
+    # the title in force when a chunk is closed is the last one before the atom that closes it, or the filing's last one
+    final = F.when(F.col("is_title"), F.col("text")).otherwise(F.col("title"))
+    last = F.max_by(F.struct(final.alias("t")), "pos")
+    part = F.when(~F.col("is_title"), F.struct("pos", "text", "heading"))
+    chunks = marked.groupBy("filing_stem", "no").agg(F.array_sort(F.collect_list(part)).alias("parts"), last["t"].alias("last")).where(F.size("parts") > 0)
+    first = cut(chunks)
+    drawn = cut(_rendered(first, count, True).select("filing_stem", "no", "sized"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("no")
+        return pd.DataFrame({"filing_stem": p["filing_stem"], "no": p["no"], "into": folded(p["sized"].to_numpy(np.int64))})
+
+    into = drawn.groupBy("filing_stem").applyInPandas(fold, "filing_stem string, no int, into int").withColumnsRenamed({"filing_stem": "s", "no": "n"})
+    both = first.join(into, first.filing_stem.eqNullSafe(into.s) & (first.no == into.n))
+    merged = both.groupBy("filing_stem", F.col("into").alias("no")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n"), F.col("parts")))), lambda x: x["parts"])).alias("parts"), F.lit(None).cast("string").alias("last"))
+    return _rendered(merged, count, False).select("filing_stem", F.col("no").alias("chunk_index"), "heading", F.col("n").alias("n_tokens"), "text")
 
 
 def carried_heading(atom_rows: DataFrame) -> DataFrame:
@@ -272,10 +289,10 @@ def next_text_tokens(atom_rows: DataFrame) -> DataFrame:
 def assign_splits(questions: DataFrame, seed: int = 42, ratios: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """questions with split by context_id, so that a document's questions stay together: contexts are shuffled by a fixed
     seed, and their running row counts are cut at the ratios. The shuffle of distinct contexts is one permutation of
-    numbers on the driver (a question set's contexts, bounded by it), joined back as a table."""
-    import numpy as np
-
-    counts = questions.where("context_id IS NOT NULL").groupBy("context_id").agg(F.count(F.lit(1)).alias("n")).orderBy("context_id").toPandas()
+    numbers on the driver (a question set's contexts, MOST_CONTEXTS at most; more are refused), joined back as a table."""
+    counts = questions.where("context_id IS NOT NULL").groupBy("context_id").agg(F.count(F.lit(1)).alias("n")).orderBy("context_id").limit(MOST_CONTEXTS + 1).toPandas()
+    if len(counts) > MOST_CONTEXTS:
+        raise ValueError(f"more than {MOST_CONTEXTS} contexts")
     ids = counts["context_id"].to_numpy().copy()
     np.random.default_rng(seed).shuffle(ids)
     rows = counts.set_index("context_id")["n"].loc[ids].cumsum()

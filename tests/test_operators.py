@@ -234,34 +234,33 @@ def lexicon(spark):
     return resolve.load(resolve.build_lexicon(companies), companies.selectExpr("company_symbol AS ticker"), words)
 
 
-@pytest.mark.parametrize(
-    "question,want",
-    [
-        ("How many visa applications were processed?", ([], "no_match")), ("In 2015, Visa Inc. reported net revenue growth.", (["V"], None)), ("Apple prices rose 12%", ([], "no_match")), ("Did the price of Apple rise?", (["AAPL"], None)),
-        ("american", ([], "no_match")), ("under armour sales", (["UA", "UAA"], None)), ("what was aapl's revenue", (["AAPL"], None)), ("BRK.B and BRK-A", (["BRK"], None)), ("BRKB", (["BRK"], None)), ("Entergy Mississippi, Inc.", (["ETR"], None)),
-        ("American Airlines Group versus American Tower", (["AAL", "AMT"], None)), ("AAL, AMT, AWK and ETR", ([], "too_many")), ("in Aon's leased properties", (["AON"], None)), ("", ([], "no_match")), (None, ([], "no_match")),
-    ],
-)
-def test_resolve(lexicon, question, want):
-    assert lexicon.resolve(question) == want
-
-
-@pytest.mark.parametrize(
-    "question,want",
-    [
-        ("What was the total revenue of Entergy Corporation in 2015, as reported in the 2015 Form 10-K?", "What was the total revenue in 2015?"), ("According to the filing, what were total net sales for Apple's stores?", ", what were total net sales stores?"), ("Entergy revenue 2015", "Entergy revenue 2015"), (None, None),
-    ],
-)
-def test_strip(lexicon, question, want):
-    got = lexicon.strip(question)
-    assert got == (want.strip(" ,;") if want else want)
+RESOLVED = {
+    "How many visa applications were processed?": ([], "no_match"), "In 2015, Visa Inc. reported net revenue growth.": (["V"], None), "Apple prices rose 12%": ([], "no_match"), "Did the price of Apple rise?": (["AAPL"], None),
+    "american": ([], "no_match"), "under armour sales": (["UA", "UAA"], None), "what was aapl's revenue": (["AAPL"], None), "BRK.B and BRK-A": (["BRK"], None), "BRKB": (["BRK"], None), "Entergy Mississippi, Inc.": (["ETR"], None),
+    "American Airlines Group versus American Tower": (["AAL", "AMT"], None), "AAL, AMT, AWK and ETR": ([], "too_many"), "in Aon's leased properties": (["AON"], None), "": ([], "no_match"), None: ([], "no_match"),
+}
+STRIPPED = {
+    "What was the total revenue of Entergy Corporation in 2015, as reported in the 2015 Form 10-K?": "What was the total revenue in 2015?", "According to the filing, what were total net sales for Apple's stores?": "what were total net sales stores?", "Entergy revenue 2015": "Entergy revenue 2015", None: None,
+    "Did the Entergy Holdings, Inc. and its subsidiaries pay more interest than before?": "Did pay more interest than before?", "What did Entergyland and Visax pay for the year 2015?": "What did Entergyland and Visax pay for the year 2015?",
+}
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_resolve_and_strip(spark, lexicon, most, monkeypatch):
+    monkeypatch.setattr(resolve, "SENT_ROWS", most)
+    questions = [*RESOLVED, *STRIPPED]
+    rows = resolve.resolved(spark.createDataFrame(list(enumerate(questions)), "query_id long, question string"), lexicon).collect()
+    got = {r.query_id: r for r in rows}
+    assert len(got) == len(rows) == len(questions)
+    assert {q: (got[i].tickers, got[i].reason) for i, q in enumerate(RESOLVED)} == RESOLVED
+    assert {q: got[len(RESOLVED) + i].stripped for i, q in enumerate(STRIPPED)} == STRIPPED
 
 
 def test_alias_candidates_equal_containment(spark, lexicon):
     asked = spark.createDataFrame([(1, "visa and under armour, inc."), (2, None), (3, "entergy entergy")], "query_id long, question string")
-    table = spark.createDataFrame([(a, t) for a, (t, _) in lexicon.aliases.items()], "alias string, tickers array<string>")
-    got = {(r.query_id, r.alias) for r in resolve.alias_candidates(asked, table).collect()}
-    assert got == {(q, a) for q, t in ((1, " visa and under armour inc "), (3, " entergy entergy ")) for a in lexicon.aliases if f" {a} " in t}
+    got = {(r.query_id, r.alias) for r in resolve.alias_candidates(asked, lexicon.aliases).collect()}
+    every = [r.alias for r in lexicon.aliases.collect()]
+    assert got == {(q, a) for q, t in ((1, " visa and under armour inc "), (3, " entergy entergy ")) for a in every if f" {a} " in t}
 
 
 def test_gap_clusters(spark):
