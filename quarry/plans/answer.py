@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators.retrieval import texts
 
 #: The prompt (fixed value).
 PROMPT = """Question: {question}
@@ -61,5 +62,4 @@ def cited_value(responses_: DataFrame, chunks: DataFrame) -> DataFrame:
     """(request_id, filing_stem, chunk_index, hit): whether a cited chunk contains the answer's number. Citations are distinct pairs; those
     without a text are left out."""
     pairs = responses_.where("value IS NOT NULL").select("request_id", "value", F.explode("citations").alias("c")).select("request_id", "value", "c.filing_stem", "c.chunk_index").distinct()
-    texts = chunks.where("text IS NOT NULL").select("filing_stem", "chunk_index", "text")
-    return pairs.join(texts, ["filing_stem", "chunk_index"]).select("request_id", "filing_stem", "chunk_index", tx.mentions_value(F.col("text"), F.col("value")).alias("hit"))
+    return texts(pairs, chunks).select("request_id", "filing_stem", "chunk_index", tx.mentions_value(F.col("text"), F.col("value")).alias("hit"))

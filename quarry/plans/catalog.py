@@ -237,7 +237,8 @@ def file_index(spark, d):
 
 @query
 def unindexed_filings(spark, d):
-    return corpus.not_loaded(t(spark, d, "ingest_log").select(F.col("stem").alias("filing_stem")).distinct(), t(spark, d, "chunks"))
+    """Fetched filings that have no parsed piece yet."""
+    return corpus.not_loaded(t(spark, d, "ingest_log").where("stem IS NOT NULL").select(F.col("stem").alias("filing_stem")).distinct(), t(spark, d, "atoms"))
 
 
 @query
@@ -284,18 +285,16 @@ def gap_clusters(spark, d):
     return gold.gap_clusters(m).groupBy("group", "cluster").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def _filing_questions(spark, d) -> DataFrame:
-    """One question per filing that has atoms: few listed questions meet a filing of the test tables."""
-    stems = t(spark, d, "atoms").where("filing_stem IS NOT NULL").select("filing_stem").distinct()
-    return stems.select(F.concat(F.lit("q_"), "filing_stem").alias("question_id"), "filing_stem")
+def _gold_questions(spark, d) -> DataFrame:
+    """A question for each chunk, since few listed questions meet a filing of the test tables: its gold rows, texts and summary
+    are the chunk's own table rows, paragraphs and heading, to be found among all chunks of the filing."""
+    return _chunks(spark, d).select(F.concat_ws("#", F.lit("q"), "filing_stem", F.col("chunk_index").cast("string")).alias("question_id"), "filing_stem", "chunk_index", "heading", "text")
 
 
 def _gold_rows(spark, d) -> DataFrame:
-    """Gold rows: the first body row of each table that opens a chunk's table stretch, numbered by its chunk."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.contains(" | "))
-    rows = _chunks(spark, d).select("filing_stem", F.col("chunk_index").alias("row_no"), lines.alias("lines")).where(F.size("lines") > 1)
-    cells = rows.select("filing_stem", "row_no", F.split(F.col("lines")[1], r" \| ").alias("cells"))
-    return _filing_questions(spark, d).join(cells, "filing_stem")
+    """Gold rows: every body row of the chunks' table stretches, numbered by line."""
+    q = _gold_questions(spark, d).select("question_id", "filing_stem", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.contains(" | "))).alias("row_no", "line")).where("row_no > 0")
+    return q.select("question_id", "row_no", "filing_stem", F.split("line", r" \| ").alias("cells"))
 
 
 @query
@@ -304,10 +303,9 @@ def row_cover(spark, d):
 
 
 def _gold_texts(spark, d) -> DataFrame:
-    """Gold texts: the first paragraph of 60 to 2000 characters of each filing's chunks."""
-    plain = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(60, 2000))
-    first = _chunks(spark, d).select("filing_stem", "chunk_index", F.get(plain, F.lit(0)).alias("p")).where("p IS NOT NULL").groupBy("filing_stem").agg(F.min_by("p", "chunk_index").alias("gold"))
-    return _filing_questions(spark, d).join(first, "filing_stem").select("question_id", "filing_stem", F.lit(1).alias("text_no"), "gold")
+    """Gold texts: every line of 60 to 2000 characters of the chunks that is no table row."""
+    q = _gold_questions(spark, d).select("question_id", "filing_stem", F.posexplode(F.split("text", "\n")).alias("text_no", "gold"))
+    return q.where(F.length("gold").between(60, 2000) & ~F.col("gold").contains(" | "))
 
 
 @query
@@ -316,11 +314,10 @@ def gold_align(spark, d):
 
 
 def _summary_parts(spark, d):
-    """The heading line of a filing's first headed chunk stands for a table summary."""
-    heads = _chunks(spark, d).where("heading IS NOT NULL").groupBy("filing_stem").agg(F.min_by("heading", "chunk_index").alias("summary"))
-    summaries = heads.select("filing_stem", F.lit(0).alias("table_index"), "summary")
-    q = _filing_questions(spark, d)
-    return q.select("question_id", F.lit(0).alias("table_index")), summaries, q
+    """The heading of each chunk stands for the summary of a table of that number."""
+    q = _gold_questions(spark, d)
+    summaries = q.where("heading IS NOT NULL").select("filing_stem", F.col("chunk_index").alias("table_index"), F.col("heading").alias("summary"))
+    return q.select("question_id", F.col("chunk_index").alias("table_index")), summaries, q.select("question_id", "filing_stem")
 
 
 @query
@@ -499,15 +496,19 @@ def table_clean(spark, d):
     """Rows of table atoms as cells, with signs and brackets split off and joined again, as filings have them."""
     a = t(spark, d, "atoms").where("is_table AND text IS NOT NULL").select("atom_id", "text").distinct()
     rows = a.select("atom_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line")).where(F.col("line").contains(" | "))
-    torn = F.flatten(F.transform(F.split("line", r" \| "), lambda c: F.when(c.rlike(r"^\([\d,.]+\)$"), F.array(F.regexp_replace(c, r"\)$", ""), F.lit(")"), F.lit(" "))).otherwise(F.array(c))))
-    return rows.select("atom_id", "row_no", F.array_join(tx.clean_row(torn), "|").alias("cells"))
+    return rows.select("atom_id", "row_no", F.array_join(tx.clean_row(_torn(F.col("line"))), "|").alias("cells"))
+
+
+def _torn(line: F.Column) -> F.Column:
+    """Cells of a table line, with closing brackets in cells of their own, as filings have them."""
+    return F.flatten(F.transform(F.split(line, r" \| "), lambda c: F.when(c.rlike(r"^\([\d,.]+\)$"), F.array(F.regexp_replace(c, r"\)$", ""), F.lit(")"), F.lit(" "))).otherwise(F.array(c))))
 
 
 @query
 def table_text(spark, d):
+    """Table atoms as rows of torn cells, cleaned and written as text again."""
     a = t(spark, d, "atoms").where("is_table AND text IS NOT NULL").select("atom_id", "text").distinct()
-    rows = F.transform(F.split("text", "\n"), lambda r: F.split(r, r" \| "))
-    return a.select("atom_id", F.md5(tx.table_text(rows)).alias("text_md5"))
+    return a.select("atom_id", F.md5(tx.table_text(F.transform(F.split("text", "\n"), lambda r: tx.clean_row(_torn(r))))).alias("text_md5"))
 
 
 @query

@@ -110,6 +110,17 @@ _RESULTS = """res AS (SELECT r.query_id, r.rank, r.filing_stem, r.chunk_index, r
 _EVID = "ev AS (SELECT query_id, string_agg('[' || filing_stem || ' chunk ' || chunk_index || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM res GROUP BY query_id)"
 
 
+_GOLD_ROWS = rf"""lines AS (SELECT 'q#' || filing_stem || '#' || chunk_index AS question_id, filing_stem, list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ')) AS ls FROM cur WHERE text IS NOT NULL),
+body AS (SELECT question_id, filing_stem, row_no, string_split(line, ' | ') AS cells FROM (SELECT question_id, filing_stem, unnest(range(len(ls))) AS row_no, unnest(ls) AS line FROM lines) WHERE row_no > 0),
+own AS (SELECT filing_stem, chunk_index, {words_of("text")} AS ws FROM cur WHERE text IS NOT NULL), nums AS (SELECT filing_stem, chunk_index, unnest({_NUMS.format(w="ws")}) AS num FROM own),
+often AS (SELECT filing_stem, num FROM nums GROUP BY 1, 2 HAVING count(*) > 5),
+wanted AS (SELECT * FROM (SELECT question_id, row_no, filing_stem, list_distinct(list_filter({words_of("cells[1]")}, lambda w: NOT regexp_full_match(w, '\d+(\.\d+)?'))) AS label, unnest({nums_of("array_to_string(cells, ' ')")}) AS num FROM body) ANTI JOIN often USING (filing_stem, num)),
+total AS (SELECT question_id, row_no, count(*) AS n FROM wanted GROUP BY 1, 2),
+got AS (SELECT question_id, row_no, filing_stem, chunk_index, any_value(label) AS label, list(DISTINCT num) AS got FROM wanted JOIN nums USING (filing_stem, num) GROUP BY 1, 2, 3, 4),
+seen AS (SELECT question_id, row_no, chunk_index, got, len(label) > 0 AND len(list_intersect(label, ws)) / len(label) >= 0.6 AS label_ok FROM got JOIN own USING (filing_stem, chunk_index))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from quarry.plans.answer import PROMPT
 
@@ -150,7 +161,7 @@ SELECT query_id, filing_stem, chunk_index, score, place AS rank FROM (SELECT *,
         "matched_questions": _with(_MATCHED) + "SELECT * FROM matched",
         "targets": "SELECT company_symbol || '_' || report_year || '_' || company_cik AS filing_stem, company_symbol, report_year, company_cik FROM (SELECT *, row_number() OVER (PARTITION BY company_cik, report_year ORDER BY id, company_symbol) AS n FROM questions WHERE company_cik IS NOT NULL AND report_year IS NOT NULL) WHERE n = 1",
         "file_index": r"SELECT split_part(stem, '_', -1)::BIGINT AS company_cik, split_part(stem, '_', -2)::INT AS report_year, max(stem) AS filing_stem FROM ingest_log WHERE regexp_full_match(stem, '.+_\d+_\d+') GROUP BY 1, 2",
-        "unindexed_filings": "SELECT DISTINCT stem AS filing_stem FROM ingest_log WHERE stem IS NOT NULL AND stem NOT IN (SELECT filing_stem FROM chunks WHERE filing_stem IS NOT NULL)",
+        "unindexed_filings": "SELECT DISTINCT stem AS filing_stem FROM ingest_log WHERE stem IS NOT NULL AND stem NOT IN (SELECT filing_stem FROM atoms WHERE filing_stem IS NOT NULL)",
         "variant_filter": _with(CUR) + "SELECT id, filing_stem, chunk_index, split_part(filing_stem, '_', 1) AS ticker, try_cast(split_part(filing_stem, '_', 2) AS INT) AS fiscal_year, try_cast(split_part(filing_stem, '_', 3) AS BIGINT) AS cik FROM cur",
         "running_headers": r"SELECT filing_stem, trim(regexp_replace(lower(heading), '\s+', ' ', 'g')) AS title, count(*) AS n FROM chunks WHERE heading IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10",
         "furniture_titles": rf"""WITH tt AS (SELECT DISTINCT filing_stem, atom_id, text FROM atoms WHERE is_title), k AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t, trim(regexp_replace(text, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')) AS b FROM tt)
@@ -160,7 +171,9 @@ SELECT filing_stem, atom_id, {_FURN} OR count(*) OVER (PARTITION BY filing_stem,
         "num_doc_freq": _with(CUR) + f"SELECT filing_stem, num, count(*) AS df FROM (SELECT filing_stem, unnest({nums_of('text')}) AS num FROM cur WHERE text IS NOT NULL) GROUP BY 1, 2 HAVING count(*) <= 5",
         "gap_clusters": _with(CUR) + """, m AS (SELECT filing_stem AS g, chunk_index AS p FROM cur WHERE contains(lower(text), 'goodwill')), l AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY g ORDER BY p) > 3 THEN 1 ELSE 0 END AS s FROM m),
 c AS (SELECT *, sum(s) OVER (PARTITION BY g ORDER BY p ROWS UNBOUNDED PRECEDING) AS cluster FROM l) SELECT g AS "group", cluster::BIGINT AS cluster, min(p) AS first, max(p) AS last, count(*) AS n FROM c GROUP BY 1, 2""",
-        "summary_match": _with(CUR) + ", h AS (SELECT filing_stem, arg_min(heading, chunk_index) AS s FROM cur WHERE heading IS NOT NULL GROUP BY 1) SELECT DISTINCT 'q_' || filing_stem AS question_id, c.chunk_index FROM (SELECT DISTINCT filing_stem FROM atoms) m JOIN h USING (filing_stem) JOIN cur c USING (filing_stem) WHERE contains(c.text, h.s)",
+        "summary_match": _with(CUR) + ", q AS (SELECT 'q#' || filing_stem || '#' || chunk_index AS question_id, filing_stem, heading FROM cur WHERE heading IS NOT NULL) SELECT DISTINCT question_id, c.chunk_index FROM q JOIN cur c USING (filing_stem) WHERE contains(c.text, q.heading)",
+        "row_cover": _with(CUR, _GOLD_ROWS) + """SELECT question_id, row_no, unnest(l.h) AS chunk_index FROM (SELECT question_id, row_no, list_reduce(list({'c': got, 'h': [chunk_index]} ORDER BY -len(got), NOT label_ok, chunk_index),
+  lambda s, x: CASE WHEN len(list_filter(x.c, lambda v: NOT list_contains(s.c, v))) > 0 THEN {'c': list_distinct(list_concat(s.c, x.c)), 'h': list_concat(s.h, x.h)} ELSE s END) AS l FROM seen WHERE len(got) >= 2 OR label_ok GROUP BY 1, 2) JOIN total USING (question_id, row_no) WHERE len(l.c) / n >= 0.6""",
         "label_diff": """WITH q AS (SELECT id, min(split) AS s, min(subset_source) AS subset FROM questions WHERE id IS NOT NULL GROUP BY id),
 o AS (SELECT lower(trim(s)) AS split, id, s AS rk, length(s) AS g FROM q WHERE subset IN ('FinQA', 'ConvFinQA')), n AS (SELECT lower(trim(s)) AS split, id, lower(s) AS rk, length(trim(s)) AS g FROM q WHERE subset IN ('ConvFinQA', 'TAT-DQA'))
 SELECT * FROM (SELECT coalesce(o.split, n.split) AS split, coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'missing' WHEN o.id IS NULL THEN 'extra' WHEN o.g IS DISTINCT FROM n.g THEN 'gold differs' WHEN o.rk IS DISTINCT FROM n.rk THEN 'row differs' END AS change
@@ -189,7 +202,8 @@ SELECT request_id, filing_stem, chunk_index, list_contains({words_of("text")}, r
         "sse_frames": """SELECT DISTINCT request_id, 'event: answer' || chr(10) || 'data: {"request_id":' || request_id || ',"value_status":"' || coalesce(value_status, 'empty') || '"}' || chr(10) || chr(10) AS frame FROM ask_responses""",
         "table_clean": r"""SELECT atom_id, row_no, regexp_replace(list_aggregate(list_filter(list_transform(string_split(line, ' | '), lambda c: trim(c)), lambda c: c <> ''), 'string_agg', '|'), '(^|\|)(-?\$)\|', '\1\2', 'g') AS cells
 FROM (SELECT atom_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS row_no FROM (SELECT DISTINCT atom_id, text FROM atoms WHERE is_table AND text IS NOT NULL)) WHERE contains(line, ' | ')""",
-        "table_text": "SELECT DISTINCT atom_id, md5(text) AS text_md5 FROM atoms WHERE is_table AND text IS NOT NULL",
+        "table_text": r"""SELECT DISTINCT atom_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda r: coalesce(replace(regexp_replace(list_aggregate(list_filter(list_transform(string_split(r, ' | '), lambda c: trim(c)), lambda c: c <> ''), 'string_agg', chr(1)), '(^|\x01)(-?\$)\x01', '\1\2', 'g'), chr(1), ' | '), '')), chr(10))) AS text_md5
+FROM atoms WHERE is_table AND text IS NOT NULL""",
         "carried_heading": "SELECT filing_stem, atom_id, last_value(CASE WHEN coalesce(is_title, false) AND NOT coalesce(is_furniture, false) THEN text END IGNORE NULLS) OVER (PARTITION BY filing_stem ORDER BY atom_index, atom_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM (SELECT DISTINCT filing_stem, atom_id, atom_index, text, is_title, is_furniture FROM atoms)",
         "next_text_tokens": "SELECT filing_stem, atom_id, CASE WHEN coalesce(is_table, false) AND nx IS NOT NULL AND NOT coalesce(nt, false) AND NOT coalesce(nb, false) THEN coalesce(nk, 0) ELSE 0 END AS ahead FROM (SELECT *, lead(atom_id) OVER w AS nx, lead(is_title) OVER w AS nt, lead(is_table) OVER w AS nb, lead(tokens) OVER w AS nk FROM (SELECT DISTINCT filing_stem, atom_id, atom_index, tokens, is_title, is_table FROM atoms) WINDOW w AS (PARTITION BY filing_stem ORDER BY atom_index, atom_id))",
         "ordered_headings": _with(CUR) + ", f AS (SELECT filing_stem, heading, min(chunk_index) AS c FROM cur WHERE heading IS NOT NULL GROUP BY 1, 2) SELECT filing_stem, string_agg(heading, ' > ' ORDER BY c) AS headings FROM f GROUP BY 1",

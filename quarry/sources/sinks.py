@@ -26,9 +26,9 @@ def append_new(chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFr
     new = chunks
     if exists(spark, f"{path}/*"):
         new = not_loaded(chunks, spark.read.parquet(path).select("filing_stem"))
-    rows = embed(new).withColumns(stem_parts(F.col("filing_stem")))
-    n = rows.select("filing_stem").distinct().count()
+    n = new.select("filing_stem").distinct().count()  # of the rows before the model reads them, which happens once
     if n:
+        rows = embed(new).withColumns(stem_parts(F.col("filing_stem")))
         rows.repartition("variant", "fiscal_year", "ticker").sortWithinPartitions("ticker", "filing_stem", "chunk_index").write.mode("append").partitionBy("variant", "fiscal_year").parquet(path)
     return n
 
@@ -43,7 +43,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_lexicon(lexicon: DataFrame, tickers: DataFrame, path: str) -> None:
-    """One JSON object with sorted keys; a lexicon is a reference list of a checked size (see resolve.load)."""
+    """One JSON object with sorted keys; a lexicon is a reference list, written by the driver row by row."""
     aliases = {r["alias"]: list(r["tickers"]) for r in lexicon.toLocalIterator()}
     known = sorted(r["ticker"] for r in tickers.distinct().toLocalIterator())
     text = json.dumps({"aliases": aliases, "tickers": known}, indent=1, sort_keys=True)

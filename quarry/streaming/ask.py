@@ -22,7 +22,7 @@ def requests(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame
 
 
 def counts(stream: DataFrame, every: str = "1 hour") -> DataFrame:
-    """(window, n_requests, n_valid) of a request stream by asking time."""
+    """(window, n_requests, n_valid) of a request stream by the time of receipt, on which the watermark lies."""
     valid = an.valid_requests(stream)
     return valid.groupBy(F.window("received_at", every)).agg(F.count(F.lit(1)).alias("n_requests"), F.count_if("valid").alias("n_valid"))
 

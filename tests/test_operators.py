@@ -136,12 +136,36 @@ def test_row_cover_equals_plain_reading(spark):
     assert got == want and want
 
 
-def test_align_takes_the_place_and_not_a_stray_match():
-    gold_words = [f"w{i}" for i in range(60)]
-    chunks = [(0, ["a"] * 30), (1, ["b"] * 5 + gold_words[:30]), (2, gold_words[30:] + ["c"] * 9), (3, ["d"] * 20), (4, ["e"] * 9), (5, ["f"] * 9), (6, gold_words[10:16] + ["g"] * 9)]
-    assert gold.align(gold_words, chunks, 6) == [1, 2]
-    assert gold.align([], chunks, 6) == [] and gold.align(gold_words, [], 6) == []
-    assert difflib.SequenceMatcher(None, [], [], autojunk=False).get_matching_blocks()
+def plain_align(gold_words, chunks, least):
+    words = [w for _, ws in chunks for w in ws]
+    place = [k for k, (_, ws) in enumerate(chunks) for _ in ws]
+    blocks = [b for b in difflib.SequenceMatcher(None, words, gold_words, autojunk=False).get_matching_blocks() if b.size >= least]
+    groups = []
+    for b in blocks:
+        if groups and place[b.a] - place[groups[-1][-1].a + groups[-1][-1].size - 1] <= 3:
+            groups[-1].append(b)
+        else:
+            groups.append([b])
+    return {chunks[place[i]][0] for g in groups if sum(b.size for b in g) >= 0.15 * len(gold_words) for b in g for i in range(b.a, b.a + b.size)}
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_align_equals_plain_matching(spark, most, monkeypatch):
+    monkeypatch.setattr(gold, "SENT_RUNS", most)
+    rng = random.Random(3)
+    word = [f"w{i}" for i in range(60)]
+    filings = {"A": [(0, ["a"] * 30), (1, ["b"] * 5 + word[:30]), (2, word[30:] + ["c"] * 9), (3, ["d"] * 20), (4, []), (5, ["f"] * 9), (9, word[10:16] + ["g"] * 9)]}
+    golds = [("q", "A", 1, word), ("p", "A", 1, []), ("r", "none", 1, word)]
+    for n in range(6):
+        filings[f"F{n}"] = [(i, [rng.choice("abc") for _ in range(rng.randrange(0, 14))]) for i in range(12)]
+        flat = [w for _, ws in filings[f"F{n}"] for w in ws]
+        golds += [(f"q{n}", f"F{n}", k, flat[k * 7 : k * 7 + 12] + [rng.choice("abc") for _ in range(12)]) for k in range(4)]
+    texts = spark.createDataFrame([(q, f, k, " ".join(w)) for q, f, k, w in golds] + [("z", "A", 1, None)], "question_id string, filing_stem string, text_no int, gold string")
+    chunks = spark.createDataFrame([(f, i, " ".join(w)) for f, rows in filings.items() for i, w in rows] + [("A", 20, None)], "filing_stem string, chunk_index int, text string")
+    for least in (6, 4):
+        want = {(q, i) for q, f, _, w in golds if f in filings for i in plain_align(w, filings[f], least)}
+        got = {tuple(r) for r in gold.aligned_chunks(texts, chunks, least).collect()}
+        assert got == want and len(want) > 5
 
 
 def test_layers_and_diff(spark):
