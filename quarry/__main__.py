@@ -28,18 +28,26 @@ def corpus(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Appends new filings' chunks to the table, and rebuilds the term index."""
+    """Appends new filings' chunks to the table and to the term index."""
     from quarry.model import served
+    from quarry.operators.corpus import not_loaded
     from quarry.operators.retrieval import Bm25Index
-    from quarry.sources import sinks
+    from quarry.sources import files, sinks
 
     chunks = spark.read.parquet(a.chunks)
     for name, kind in (("variant", "string"), ("embedding", "array<float>"), ("id", "long"), ("ingested_at", "timestamp")):
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit("A") if name == "variant" else F.lit(None).cast(kind))
-    print(json.dumps({"appended": sinks.append_new(chunks, a.table)}))
-    keyed = spark.read.parquet(a.table).withColumn("id", F.coalesce("id", F.xxhash64("filing_stem", "chunk_index", "variant")))
-    Bm25Index.build(served(keyed)).write(a.terms)
+    keyed = lambda df: df.withColumn("id", F.coalesce("id", F.xxhash64("filing_stem", "chunk_index", "variant")))
+    if files.exists(spark, f"{a.terms}/totals"):
+        new = not_loaded(chunks, spark.read.parquet(f"{a.terms}/filings"))
+        if not new.isEmpty():
+            Bm25Index.append(served(keyed(new)), a.terms)
+    else:
+        Bm25Index.build(served(keyed(chunks))).write(a.terms)
+    done = {"appended": sinks.append_new(chunks, a.table)}
+    spark.read.parquet(a.table).select("filing_stem").distinct().write.mode("overwrite").parquet(f"{a.terms}/filings")
+    print(json.dumps(done))
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:

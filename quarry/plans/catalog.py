@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 from quarry import model
 from quarry.functions import text as tx
-from quarry.operators import corpus, gold, metrics, resolve, retrieval
+from quarry.lineage import shared_path
+from quarry.operators import ann, corpus, gold, metrics, resolve, retrieval
 from quarry.plans import answer, evaluate
 from quarry.plans.oracle import oracle_sql  # noqa: F401
 from quarry.plans.retrieve import Engine
@@ -62,6 +63,13 @@ def dense_topk_ticker(spark, d):
     return _place(retrieval.dense(_asked(spark, d, True), _chunks(spark, d)))
 
 
+@query
+def ann_topk(spark, d):
+    """The ten nearest chunks of each question by an inverted file of vectors, built here and searched."""
+    index = ann.VectorIndex.write(_chunks(spark, d), shared_path(spark, "vectors"))
+    return _place(index.search(_asked(spark, d), 10))
+
+
 @query
 def bm25_topk(spark, d):
     return _place(retrieval.Bm25Index.build(_chunks(spark, d)).search(_asked(spark, d)))

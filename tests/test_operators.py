@@ -4,10 +4,11 @@ import difflib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import corpus, gold, metrics, resolve, retrieval
+from quarry.operators import ann, corpus, gold, metrics, resolve, retrieval
 
 # ---- fusion
 
@@ -59,6 +60,13 @@ def test_index_survives_writing_and_shuffled_search(spark, tmp_path, monkeypatch
     index.write(str(tmp_path / "ix"), 2)
     wanted = index.search(q).orderBy("query_id", "rank").collect()
     assert retrieval.Bm25Index.read(spark, str(tmp_path / "ix")).search(q).orderBy("query_id", "rank").collect() == wanted
+    half = tmp_path / "half"
+    retrieval.Bm25Index.build(chunks.where("chunk_index < 2")).write(str(half), 5)
+    retrieval.Bm25Index.append(chunks.where("chunk_index >= 2"), str(half))
+    read = retrieval.Bm25Index.read(spark, str(half))
+    assert read.search(q).orderBy("query_id", "rank").collect() == wanted
+    plan = read.search(q.where("query_id = 2"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     monkeypatch.setattr(retrieval, "SENT_TERMS", 0)
     assert index.search(q).orderBy("query_id", "rank").collect() == wanted
 
@@ -72,6 +80,23 @@ def test_index_survives_writing_and_shuffled_search(spark, tmp_path, monkeypatch
     assert {r.chunk_index: r.score for r in wanted} == {i: score(texts[i]) for i in (0, 1, 4)}
 
 
+def test_vector_index_recalls_the_exact_search(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.5 * rng.standard_normal((3000, 16))
+    rows = [(f"F_{2000 + i % 9}_{i % 50}", i, f"T{i % 3}", v.tolist()) for i, v in enumerate(x)] + [("F_2000_1", 9000, "T1", None), ("F_2000_1", 9001, "T1", [0.0] * 16)]
+    chunks = spark.createDataFrame(rows, "filing_stem string, chunk_index int, ticker string, embedding array<float>")
+    q = spark.createDataFrame([(i, x[i * 7].tolist(), ["T1"] if i % 4 == 0 else []) for i in range(60)] + [(100, None, [])], "query_id long, vector array<float>, tickers array<string>")
+    index = ann.VectorIndex.write(chunks, str(tmp_path / "v"), 16, 30)
+    keys = lambda df: {(r.query_id, r.chunk_index) for r in df.collect()}
+    want = keys(retrieval.dense(q, chunks, 10, 16))
+    got = keys(index.search(q, 10))
+    assert len(want & got) >= 0.9 * len(want) and keys(index.search(q, 10, 30)) == want
+    assert keys(ann.VectorIndex(spark, str(tmp_path / "v")).search(q, 10)) == got
+    none = ann.VectorIndex.write(chunks.where("chunk_index >= 9000"), str(tmp_path / "none"), 16)
+    assert none.search(q).count() == 0
+
+
 # ---- metrics
 
 
