@@ -40,8 +40,13 @@ TAKEN_FOR = [
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1250"), ("cp1252", "cp1251"),
     ("mac_roman", "latin-1"), ("mac_roman", "cp1252"), ("cp437", "latin-1"), ("cp437", "cp1252"), ("cp850", "latin-1"), ("cp850", "cp1252"),
 ]
+#: Encodings of two bytes a character (written, read), and the characters that they must give to count as a reading.
+WIDE = [("shift_jis", "cp1252"), ("euc_jp", "cp1252"), ("gbk", "cp1252"), ("big5", "cp1252"), ("euc_kr", "cp1252")]
+_WIDE_CHARS = re.compile("[\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uff01-\uffee]+")
+#: Characters beyond ASCII from which a token is read by the wide encodings.
+LEAST_WIDE = 4
 DEPTH = 3
-CHAINS: list[tuple[str, str, int]] = [("utf-8", read, depth) for depth in range(1, DEPTH + 1) for read in READ_FOR_UTF8] + [(w, r, 1) for w, r in TAKEN_FOR]
+CHAINS: list[tuple[str, str, int]] = [("utf-8", read, depth) for depth in range(1, DEPTH + 1) for read in READ_FOR_UTF8] + [(w, r, 1) for w, r in TAKEN_FOR] + [(w, r, 1) for w, r in WIDE]
 CLEAN, LOST = -1, len(CHAINS)
 LOST_CHAR = "�"
 #: Bounded tables of the character model: hashed pairs and characters.
@@ -59,6 +64,8 @@ WEIGHT, PRIOR = 20.0, 1e-3
 TRUST = 8.0
 #: Sources whose shares of chains are broadcast, at most (about 20 MB); more meet the tokens by a shuffle.
 SENT_SOURCES = 20_000
+#: Records found that are broadcast to the corpus, at most (about 30 MB); more meet it by a shuffle.
+SENT_RECORDS = 1_000_000
 #: Tokens longer than this are read in parts, which overlap by so many characters that a sequence lies whole in one.
 LONGEST, OVERLAP = 400, 32
 
@@ -103,9 +110,24 @@ def _single(written: str, read: str) -> dict[int, str]:
     return table
 
 
+def _undo_wide(token: str, written: str, read: str) -> str | None:
+    """The token read anew by an encoding of two bytes a character, if that gives such characters and ASCII only."""
+    high = [c for c in token if c > "\x7f"]
+    table = _bytes_of(read)
+    if len(high) < LEAST_WIDE or any(ord(c) not in table for c in high):
+        return None
+    try:
+        out = "".join(table.get(ord(c), c) for c in token).encode("latin-1").decode(written)
+    except UnicodeDecodeError:
+        return None
+    return out if all(c < "\x7f" or _WIDE_CHARS.match(c) for c in out) else None
+
+
 def inverse(token: str, chain: tuple[str, str, int]) -> str | None:
     """The token that the chain would have garbled into this one; None if the chain changes nothing."""
     written, read, depth = chain
+    if (written, read) in WIDE:
+        return _undo_wide(token, written, read)
     if written != "utf-8":
         out = token.translate(_single(written, read))
         return out if out != token else None
@@ -331,20 +353,23 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return best.where("b.sum > 0").select("id", "b.chain", (1 / (1 + F.exp(-F.col("b.sum")))).alias("posterior")), model
 
 
-def repair(text: str, chain: int, model: Model) -> tuple[str, bool]:
-    """The text with each token read by the record's chain, or by another one that is more plausible still,
-    unless the token is most plausible as it stands; and whether nothing was lost."""
-
-    def one(m: re.Match) -> str:
-        token = m.group()
-        options = [(model(x), x) for k, x in readings(token) if k != LOST]
+def repairs(tokens: list[tuple[str, int]], model: Model) -> dict[tuple[str, int], str]:
+    """What each (token, chain of its record) is read as: by the record's chain, or by another one that is more plausible still,
+    unless the token is most plausible as it stands. All of them are weighed at once."""
+    texts, trust, of = [], [], []
+    for i, (token, chain) in enumerate(tokens):
+        options = [(0.0, token)] + [(0.0, x) for k, x in readings(token) if k != LOST]
         if chain != LOST and (own := inverse(token, CHAINS[chain])) is not None:
-            options.append((model(own) + TRUST, own))
-        best = max(options, default=(-math.inf, token))
-        return best[1] if best[0] > model(token) else token
-
-    out = TOKEN_RE.sub(one, text)
-    return out, LOST_CHAR not in out
+            options.append((TRUST, own))
+        texts += [x for _, x in options]
+        trust += [t for t, _ in options]
+        of += [i] * len(options)
+    score = model.many(Flat(texts)) + np.array(trust)
+    best: dict[int, int] = {}
+    for k, i in enumerate(of):
+        if i not in best or score[k] > score[best[i]]:
+            best[i] = k
+    return {tokens[i]: texts[k] for i, k in best.items()}
 
 
 def restored(docs: DataFrame, judged: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,8 +378,12 @@ def restored(docs: DataFrame, judged: DataFrame, model: Model, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [repair(t, k, model) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[k] for k in batch.column(2).to_pylist()], pa.string()), pa.array([x for x, _ in done], pa.string()), pa.array([w for _, w in done], pa.bool_())], names=[key, "chain", "restored", "whole"])
-
-    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"]).join(judged, "id").select("id", "text", "chain")
-    return wanted.mapInArrow(run, f"`{key}` long, chain string, restored string, whole boolean")
+            texts, chains = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            meant = repairs(sorted({(m, k) for t, k in zip(texts, chains) for m in TOKEN_RE.findall(t)}), model)
+            done = [TOKEN_RE.sub(lambda m, k=k: meant[m.group(), k], t) for t, k in zip(texts, chains)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[k] for k in chains], pa.string()), pa.array(done, pa.string()), pa.array([LOST_CHAR not in x for x in done], pa.bool_())], names=[key, "chain", "restored", "whole"])
+
+    # the records found go to the corpus where they are few, which then is not shuffled
+    found = sent_if_small(judged.select("id", "chain"), SENT_RECORDS)
+    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(found, "id").groupBy("id").agg(F.min(F.struct("text", "chain")).alias("r")).select("id", "r.text", "r.chain")
+    return wanted.repartition(4 * cores(docs.sparkSession)).mapInArrow(run, f"`{key}` long, chain string, restored string, whole boolean")

@@ -3,7 +3,10 @@
 Method: hash-prefix forest. Each tree gives a vector a string of DEPTH bits (the sides of random planes) and
 keeps all strings in one sorted array. In such an array the longest-prefix matches of a string are its
 neighbours, and ascending to shorter prefixes means walking further from it, in all trees by the same number
-of places at once: the descent of variable length and the synchronous ascent are one window of REACH places.
+of places at once: the descent of variable length and the synchronous ascent are one window of REACH places. In a
+collection n such a window covers prefixes of log2(n / REACH) bits, so the ascent ends at longer prefixes the larger the
+collection is; trees are added for that, until a pair at the least similarity meets in one of them with probability
+1 - MISSED. They are sorted and compared in passes of PASS trees, so that what lies on disk does not grow with them.
 Rows of a window are compared in blocks on vectors quantised to 8 bits; pairs near the least similarity go on,
 and are measured exactly on the full vectors.
 
@@ -19,6 +22,7 @@ smaller id, and a row with fewer than k partners keeps those it has. Repeated ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +33,11 @@ from pyspark.sql.window import Window
 
 from quarry.llm.base import cut, sent_if_small
 
-TREES, DEPTH = 16, 63
+#: Trees at least, trees of one pass, and bits of a string.
+TREES, PASS, DEPTH = 16, 16, 63
 REACH = 512
+#: Share of the pairs at the least similarity that all trees together may miss, by the probability of a common prefix.
+MISSED = 0.05
 #: Ids that are broadcast to vectors, at most (about 30 MB); more meet them by a shuffle.
 SENT_IDS = 1_000_000
 #: Cosine that the 8-bit vectors may be off.
@@ -65,11 +72,17 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _hash(reps: DataFrame, size: int) -> DataFrame:
-    """(id, q, strings): the vector in 8 bits, and its string in each tree."""
+def trees_for(n: int, least: float) -> int:
+    """Trees for n vectors: two at the least similarity lie on one side of a random plane with probability 1 - angle / pi."""
+    shared = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(1, n) / REACH))
+    return TREES if shared >= 1 else max(TREES, math.ceil(math.log(MISSED) / math.log(1 - shared)))
+
+
+def _hash(reps: DataFrame, size: int, first: int, many: int) -> DataFrame:
+    """(id, q, strings): the vector in 8 bits, and its string in each of `many` trees from the first on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(7).standard_normal((size, TREES * DEPTH)).astype(np.float32)
+        planes = np.random.default_rng(7 + first).standard_normal((size, many * DEPTH)).astype(np.float32)
         weight = (1 << np.arange(DEPTH - 1, -1, -1, dtype=np.int64))
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -77,13 +90,13 @@ def _hash(reps: DataFrame, size: int) -> DataFrame:
                 x = _matrix(part.column(1), size)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                side = ((x.astype(np.float32) @ planes) > 0).reshape(len(x), TREES, DEPTH)
-                strings = np.zeros((len(x), TREES), np.int64)
+                side = ((x.astype(np.float32) @ planes) > 0).reshape(len(x), many, DEPTH)
+                strings = np.zeros((len(x), many), np.int64)
                 for k in range(DEPTH):
                     strings |= side[:, :, k] * weight[k]
                 q = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, strings.size + 1, TREES, dtype=np.int32)), pa.array(strings.ravel()))],
+                    [part.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, strings.size + 1, many, dtype=np.int32)), pa.array(strings.ravel()))],
                     names=["id", "q", "strings"],
                 )
 
@@ -274,7 +287,11 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", size: int
     member = cut(keyed.join(classes, ["h1", "h2"]).select("id", "rep"))
     copies = sent_if_small(member.where("id <> rep").select("id"), SENT_IDS)
     reps = rows.join(copies, "id", "left_anti")
-    found = cut(_windows(cut(_hash(reps, size)), size, k, least))
+    all_trees = trees_for(member.where("id = rep").count(), least)
+    found = None
+    for first in range(0, all_trees, PASS):
+        one = cut(_windows(cut(_hash(reps, size, first, min(PASS, all_trees - first))), size, k, least))
+        found = one if found is None else cut(found.unionByName(one).distinct())
     close = _measured(found.where("id_a <> id_b"), rows, size, least)
     crowded = found.where("id_a = id_b").select(F.col("id_a").alias("id"))
     if n := crowded.count():

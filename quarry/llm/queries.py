@@ -68,14 +68,17 @@ def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.to_rebuild(all_lines, 1, second, counts.crossed())
 
 
+def _near_duplicates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text"), 0.7, 3, 25)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    links, members = near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text"), 0.7, 3, 25)
-    return near_dupes.row_pairs(links, members)
+    return near_dupes.row_pairs(*_near_duplicates(spark, d))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups by five words and a similarity of 0.8."""
-    return near_dupes.groups(*near_dupes.near_duplicates(table(spark, d, "chunks").select("id", "text")))
+    """The groups that the pairs of p6_found make, one row per record."""
+    return near_dupes.groups(*_near_duplicates(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -138,6 +141,11 @@ SELECT DISTINCT id FROM o JOIN f USING (filing_stem, k) LEFT JOIN (SELECT filing
         "p6_found": f"""WITH w AS (SELECT id, {_WORDS.format(x="text")} AS w FROM chunks WHERE text IS NOT NULL), s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 25)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id), j AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
 SELECT x AS id_a, y AS id_b FROM j JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE k >= 0.7 * (p.n + q.n - k) - 1e-9""",
+        "p6_groups": f"""WITH RECURSIVE w AS (SELECT id, {_WORDS.format(x="text")} AS w FROM chunks WHERE text IS NOT NULL), g AS (SELECT id, w, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] AS s FROM w WHERE len(w) >= 25),
+c AS (SELECT id, list_sort(list_distinct(s)) AS s FROM g), rep AS (SELECT s, min(id) AS rep FROM c GROUP BY s), m AS (SELECT id, rep FROM c JOIN rep USING (s)), s AS (SELECT rep AS id, unnest(s) AS x, len(s) AS n FROM rep),
+j AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS p, any_value(b.n) AS q, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2), e AS (SELECT x, y FROM j WHERE k >= 0.7 * (p + q - k) - 1e-9),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT DISTINCT x AS id, x AS o FROM b UNION SELECT b.y, r.o FROM r JOIN b ON b.x = r.id AND r.o < b.y), l AS (SELECT id, min(o) AS label FROM r GROUP BY id), d AS (SELECT x AS id, count(*) AS n FROM b GROUP BY 1)
+SELECT m.id, coalesce(l.label, m.rep) AS group_id, coalesce(d.n, 0) AS n_links FROM m LEFT JOIN l ON l.id = m.rep LEFT JOIN d ON d.id = m.rep""",
         "p9_found": f"""WITH q AS (SELECT DISTINCT id, question, context FROM questions WHERE lower(trim(split)) = 'test' AND id IS NOT NULL), t AS (SELECT id, {_WORDS.format(x="question")} AS w FROM q UNION ALL SELECT id, {_WORDS.format(x="context")} FROM q),
 g AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)),
 d AS (SELECT doc_id, {_WORDS.format(x="text")} AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12))

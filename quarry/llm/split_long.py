@@ -5,8 +5,9 @@ boundary the similarity of the blocks before and after it is taken, and its dept
 below the peaks on both sides (a valley is a change of topic). A piece ends at the deepest valley of
 its window of sizes; the next piece begins `overlap` tokens before that end.
 
-A boundary is the end of a paragraph, a sentence or a table row; inside a window with none of them the
-end of a line is taken, and without any the piece is cut at the limit. Pieces together cover the text;
+A boundary is the end of a paragraph, a sentence or a table row. A full stop ends no sentence after an abbreviation or
+initials, or before a small letter or a figure; inside a window without better boundaries such a stop is taken, else
+the end of a line, and without any the piece is cut at the limit. Pieces together cover the text;
 texts within the limit, null and empty texts give no piece; repeated rows give one set of pieces.
 """
 
@@ -27,23 +28,51 @@ BLOCK = 60
 FILL = 0.5
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»“)\]*_]*$")
 _ROW = re.compile(r"\|")
+#: Words that a full stop belongs to (fixed values), besides initials.
+ABBREVIATIONS = {"inc", "corp", "co", "cos", "ltd", "llc", "bros", "approx", "no", "nos", "vs", "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "etc", "fig", "art", "sec", "est", "dept", "incl", "excl", "cf", "al", "ca", "bzw", "nr", "mio", "mrd", "tel", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec"}
+_INITIALS = re.compile(r"^(?:[^\W\d_]\.)+$")
 
 
-def boundaries(text: str, spans: list[tuple[int, int]], is_table: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For the gap after each token but the last: whether it is a natural boundary, whether a line ends."""
+ABBREVIATED, SMALL, SENTENCE = range(3)
+
+
+def kind_of_stop(token: str, following: str) -> int:
+    """What a token that ends like a sentence is, given the token after it: an abbreviation, before a small letter or a figure, or a
+    sentence's end."""
+    bare = token.strip("\"'”’»“()[]*_")
+    if not bare.endswith("."):
+        return SENTENCE
+    if bare[:-1].lower() in ABBREVIATIONS or _INITIALS.match(bare):
+        return ABBREVIATED
+    first = following.lstrip("\"'”’»“([*_")[:1]
+    return SMALL if first.islower() or first.isdigit() else SENTENCE
+
+
+def boundaries(text: str, spans: list[tuple[int, int]], is_table: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the gap after each token but the last: whether it is a natural boundary, whether a full stop of any kind stands before
+    it, and whether a line ends."""
     n = len(spans) - 1
-    natural, line = np.zeros(n, bool), np.zeros(n, bool)
+    natural, stop, line = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    kind = np.full(n, -1)
+    for i in range(n):
+        end, start = spans[i][1], spans[i + 1][0]
+        stop[i] = bool(_SENTENCE_END.search(text[max(spans[i][0], end - 8) : end]))
+        if stop[i]:
+            kind[i] = kind_of_stop(text[max(spans[i][0], end - 24) : end], text[start : start + 8])
+    # a text whose sentences begin with small letters as a rule is read as it is written
+    ends = (kind == SENTENCE) | ((kind == SMALL) & ((kind == SMALL).sum() > (kind == SENTENCE).sum()))
     line_start = 0
     for i in range(n):
         end, start = spans[i][1], spans[i + 1][0]
+        sentence = ends[i]
         newlines = text.count("\n", end, start)
         if not newlines:
-            natural[i] = not is_table and bool(_SENTENCE_END.search(text[max(spans[i][0], end - 8) : end]))
+            natural[i] = not is_table and sentence
             continue
         line[i] = True
-        natural[i] = newlines > 1 or is_table or bool(_SENTENCE_END.search(text[max(spans[i][0], end - 8) : end])) or bool(_ROW.search(text, line_start, end))
+        natural[i] = newlines > 1 or is_table or sentence or bool(_ROW.search(text, line_start, end))
         line_start = start
-    return natural, line
+    return natural, stop & ~natural if not is_table else stop & False, line
 
 
 def depths(words: list[str], gaps: np.ndarray) -> np.ndarray:
@@ -70,10 +99,10 @@ def depths(words: list[str], gaps: np.ndarray) -> np.ndarray:
 def pieces(text: str, limit: int, overlap: int, is_table: bool = False) -> list[tuple[int, int, int]]:
     """(char_start, char_end, n_tokens) of the pieces of a text of more than limit tokens."""
     spans = [m.span() for m in TOKEN_RE.finditer(text)]
-    natural, line = boundaries(text, spans, is_table)
+    natural, stop, line = boundaries(text, spans, is_table)
     gaps = np.flatnonzero(natural)
     depth = depths([text[a:b] for a, b in spans], gaps)
-    lines = np.flatnonzero(line)
+    lesser = [np.flatnonzero(stop), np.flatnonzero(line)]
     out, start = [], 0
     while len(spans) - start > limit:
         low, high = start + overlap, start + limit - 1  # the gap after token `low` leaves a new token
@@ -85,8 +114,12 @@ def pieces(text: str, limit: int, overlap: int, is_table: bool = False) -> list[
         if i < j:
             g = int(gaps[i + np.argmax(depth[i:j])])
         else:
-            i, j = np.searchsorted(lines, low), np.searchsorted(lines, high, "right")
-            g = int(lines[j - 1]) if i < j else high
+            g = high
+            for ends in lesser:
+                i, j = np.searchsorted(ends, low), np.searchsorted(ends, high, "right")
+                if i < j:
+                    g = int(ends[j - 1])
+                    break
         out.append((spans[start][0], spans[g][1], g + 1 - start))
         start = g + 1 - overlap
     out.append((spans[start][0], spans[-1][1], len(spans) - start))
@@ -102,7 +135,8 @@ def split_oversized(df: DataFrame, limit: int = 1500, overlap: int = 100) -> Dat
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to below limit")
     large = df.where((F.length("text") > 2 * limit) & (n_tokens("text") > limit)).select("item_kind", "item_id", "text", F.coalesce("is_table", F.lit(False)).alias("is_table"))
-    large = large.dropDuplicates(["item_kind", "item_id"])
+    # of several texts of one id the first in order, so that the result is the same in every run
+    large = large.groupBy("item_kind", "item_id").agg(F.min(F.struct("text", "is_table")).alias("t")).select("item_kind", "item_id", "t.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -158,6 +158,16 @@ def test_nearest_equals_brute_force(spark):
     assert len(set(got) - want) <= 0.02 * len(want)
 
 
+def test_trees_grow_with_the_collection(spark, monkeypatch):
+    few = [nn_forest.trees_for(n, 0.9) for n in (0, 1000, 150_000, 1_500_000, 40_000_000)]
+    assert few[0] == few[1] == nn_forest.TREES and few == sorted(few) and few[-1] > 30
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, (np.ones(64) + rng.standard_normal(64)).tolist()) for i in range(60)], "id long, embedding array<float>")
+    want = {tuple(r) for r in nn_forest.nearest(df, least=0.5).collect()}
+    monkeypatch.setattr(nn_forest, "PASS", 5)
+    assert {tuple(r) for r in nn_forest.nearest(df, least=0.5).collect()} == want and want
+
+
 def test_nearest_in_a_dense_group_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     n = 12_000

@@ -38,6 +38,17 @@ def test_cut_prefers_the_change_of_topic():
     assert abs(end - len(a * 30)) <= len(b)
 
 
+def test_stops_that_end_no_sentence():
+    text = "Visa Inc. reported that U.S. revenue of approx. 5 rose. Next, costs fell to 3. 4 more followed. End"
+    spans = [m.span() for m in split_long.TOKEN_RE.finditer(text)]
+    natural, stop, _ = split_long.boundaries(text, spans, False)
+    words = [text[a:b] for a, b in spans]
+    assert [w for w, x in zip(words, natural) if x] == ["rose.", "followed."]
+    assert [w for w, x in zip(words, stop) if x] == ["Inc.", "U.S.", "approx.", "3."]
+    inside = "word " * 30 + "Visa Inc. rose " + "word " * 30
+    assert [inside[a:b].split()[-1] for a, b, _ in split_long.pieces(inside, 50, 0)][0] == "Inc."
+
+
 def test_split_rows(spark):
     long = "word " * 3100
     rows = [("chunk", 1, long, None), ("chunk", 1, long, None), ("chunk", 2, "word " * 1500, False), ("atom", 1, "x " * 1501, True), ("atom", 3, None, None), ("atom", 4, "", True)]
@@ -341,6 +352,21 @@ def test_single_byte_garbling_of_words_with_one_accent(spark):
     assert all(out[i].restored == text for i, text in want.items())
 
 
+def test_wide_encodings(spark):
+    rng = random.Random(7)
+    for text, written in (("売上高は前年比で増加", "shift_jis"), ("營業收入同比增長", "big5"), ("营业收入同比增长", "gbk"), ("매출액이증가했다", "euc_kr")):
+        garbled = "".join({ord(b): chr(c) for c, b in mojibake._bytes_of("cp1252").items()}[x] for x in text.encode(written))
+        assert mojibake.inverse(garbled, (written, "cp1252", 1)) == text
+    assert mojibake.inverse("Größe", ("gbk", "cp1252", 1)) is None
+    words = "売上高は 前年比で 増加した 費用が 減少しました 会社の 利益を 計上する".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(30)), "s") for i in range(200)] + [(500 + i, "für größere Löhne über Verträge", "s") for i in range(200)]
+    bytes_of = {ord(b): chr(c) for c, b in mojibake._bytes_of("cp1252").items()}
+    docs += [(900 + i, "".join(bytes_of[x] for x in docs[i][1].encode("shift_jis")), "s") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = {r.doc_id: r.restored for r in mojibake.restored(df, *mojibake.judge(df)).collect()}
+    assert set(out) == set(range(900, 910)) and all(out[900 + i] == docs[i][1] for i in range(10))
+
+
 def test_sequence_across_the_parts_of_a_long_token(spark):
     docs = [(i, "für größere Löhne über Verträge", "s") for i in range(200)]
     docs += [(900, "a" * (mojibake.LONGEST - 2) + "fÃ¼r", "s"), (901, "fÃ¼r grÃ¶ÃŸere LÃ¶hne", "s")]
