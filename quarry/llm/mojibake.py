@@ -188,13 +188,13 @@ class Model:
         return float(self.many(Flat([token]))[0])
 
 
-def _counts(parts: DataFrame) -> Model:
-    """Sums (kind, at, weight) into a model; both tables are of a fixed size."""
+def _counts(parts: DataFrame, fixed: Model | None = None) -> Model:
+    """Sums (kind, at, weight) into a model, on top of a fixed one; both tables are of a fixed size."""
     rows = parts.groupBy("kind", "at").agg(F.sum("weight").alias("weight")).toArrow()
     pairs, chars = np.zeros(PAIRS), np.zeros(CHARS)
     kind, at, weight = (rows[c].to_numpy() for c in ("kind", "at", "weight"))
     pairs[at[kind == 0]], chars[at[kind == 1]] = weight[kind == 0], weight[kind == 1]
-    return Model(pairs, chars)
+    return Model(pairs, chars) if fixed is None else Model(pairs + fixed.pairs, chars + fixed.chars)
 
 
 def _prior(rows) -> dict[int, float]:
@@ -322,11 +322,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     tokens = cut(counted.join(known, "token").select("source", "token", "n", "chains", "meant").repartition(tasks))
     model, shares = _counts(_step(_with_shares(tokens, None), None).where("kind < 2")), None
     tokens = cut(_plausible(tokens, model))
+    # a token without a reading counts as it stands in every round: these are counted once
+    fixed = _counts(_step(_with_shares(tokens.where(F.size("chains") == 0), None), None).where("kind < 2"))
+    tokens = cut(tokens.where(F.size("chains") > 0).repartition(tasks))
     for _ in range(ROUNDS):
         parts = cut(_step(_with_shares(tokens, shares), model))
-        model, shares = _counts(parts.where("kind < 2")), _shares(parts)
+        model, shares = _counts(parts.where("kind < 2"), fixed), _shares(parts)
 
-    suspect = _with_shares(tokens.where(F.size("chains") > 0), shares)
+    suspect = _with_shares(tokens, shares)
     last = model
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
