@@ -16,7 +16,6 @@ makes them more plausible. A null source pools with other null sources. Repeated
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -64,6 +63,8 @@ WEIGHT, PRIOR = 20.0, 1e-3
 TRUST = 8.0
 #: Sources whose shares of chains are broadcast, at most (about 20 MB); more meet the tokens by a shuffle.
 SENT_SOURCES = 20_000
+#: Tokens of a task of the estimation, at least where the cores allow.
+TASK = 10_000
 #: Records found that are broadcast to the corpus, at most (about 30 MB); more meet it by a shuffle.
 SENT_RECORDS = 1_000_000
 #: Tokens longer than this are read in parts, which overlap by so many characters that a sequence lies whole in one.
@@ -197,10 +198,6 @@ def _counts(parts: DataFrame, fixed: Model | None = None) -> Model:
     return Model(pairs, chars) if fixed is None else Model(pairs + fixed.pairs, chars + fixed.chars)
 
 
-def _prior(rows) -> dict[int, float]:
-    return {r["chain"]: r["share"] for r in rows or []}
-
-
 class Readings:
     """The tokens of a batch with their readings, laid out flat: each token as it stands, then its readings."""
 
@@ -224,20 +221,21 @@ class Readings:
         stands = logs[self.first][self.owner] if len(logs) else logs
         return np.where(self.chain == LOST, stands + LOSS, logs)
 
-    def weights(self, model: Model, shares: list) -> np.ndarray:
+    def prior(self, shares: np.ndarray) -> np.ndarray:
+        """How usual each reading's chain is in its token's source; CLEAN is the last column."""
+        return shares[self.owner, self.chain]
+
+    def weights(self, model: Model, shares: np.ndarray) -> np.ndarray:
         """Posterior of each reading, by the model and the chains' shares in the token's source."""
-        prior = np.full(len(self.chain), PRIOR)
-        for i, rows in enumerate(shares):
-            own = _prior(rows)
-            a, n = self.first[i], self.many[i]
-            prior[a] = max(1e-9, 1 - sum(own.values()))
-            for j in range(a + 1, a + n):
-                prior[j] = own.get(int(self.chain[j]), PRIOR)
-        logs = self.logs(model) + np.log(prior)
+        logs = self.logs(model) + np.log(self.prior(shares))
         w = np.exp(logs - np.maximum.reduceat(logs, self.first)[self.owner])
         return w / np.add.reduceat(w, self.first)[self.owner]
 
 
+def _matrix(shares: pa.Array) -> np.ndarray:
+    return shares.flatten().to_numpy(zero_copy_only=False).reshape(-1, LOST + 2)
+
+
 _PARTS = "kind int, at int, source string, chain int, weight double"
 
 
@@ -250,15 +248,18 @@ def _step(tokens: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sources, tokens, n, chains, meant, shares = (c.to_pylist() for c in batch.columns)
+            tokens, n, chains, meant = (batch.column(k).to_pylist() for k in (1, 2, 3, 4))
             r = Readings(tokens, chains, meant)
-            w = r.weights(model, shares) if model is not None else (r.chain == CLEAN) * np.where(r.reads_utf8()[r.owner], START, 1.0)
+            w = r.weights(model, _matrix(batch.column(5))) if model is not None else (r.chain == CLEAN) * np.where(r.reads_utf8()[r.owner], START, 1.0)
             w = w * np.array(n, float)[r.owner]
             pairs, chars = r.flat.counts(np.where(r.lost | (w < 1e-6), 0, w))
-            uses: dict[tuple, float] = {}
-            for i in np.flatnonzero(r.many[r.owner] > 1):
-                key = (sources[r.owner[i]], int(r.chain[i]))
-                uses[key] = uses.get(key, 0.0) + float(w[i])
+            listed = batch.column(0).dictionary_encode()  # a null source is one of them
+            names = [*listed.dictionary.to_pylist(), None]
+            code = listed.indices.fill_null(len(names) - 1).to_numpy()
+            told = np.flatnonzero(r.many[r.owner] > 1)
+            keys, at = np.unique(code[r.owner[told]] * (LOST + 2) + r.chain[told] + 1, return_inverse=True)
+            sums = np.bincount(at, w[told], len(keys))
+            uses = {(names[k // (LOST + 2)], int(k % (LOST + 2)) - 1): x for k, x in zip(keys.tolist(), sums.tolist())}
             p, c = np.flatnonzero(pairs), np.flatnonzero(chars)
             kind = [0] * len(p) + [1] * len(c) + [2] * len(uses)
             none = [None] * (len(p) + len(c))
@@ -289,18 +290,22 @@ def _plausible(tokens: DataFrame, model: Model) -> DataFrame:
 
 
 def _with_shares(tokens: DataFrame, shares: DataFrame | None) -> DataFrame:
-    empty = F.lit(None).cast("array<struct<chain:int,share:double>>")
+    usual = F.array(*[F.lit(PRIOR)] * (LOST + 1), F.lit(1.0))
     if shares is None:
-        return tokens.withColumn("shares", empty)
-    return tokens.join(sent_if_small(shares.withColumnRenamed("source", "s"), SENT_SOURCES), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        return tokens.withColumn("shares", usual)
+    sent = sent_if_small(shares.withColumnsRenamed({"source": "s", "shares": "own"}), SENT_SOURCES)
+    return tokens.join(sent, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("shares", F.coalesce("own", usual)).drop("s", "own")
 
 
 def _shares(parts: DataFrame) -> DataFrame:
-    """(source, shares): how usual each chain is in a source."""
+    """(source, shares): how usual each chain is in a source, by its number, and last how usual it is that none was at work."""
     used = parts.where("kind = 2").groupBy("source", "chain").agg(F.sum("weight").alias("w"))
     listed = used.groupBy("source").agg(F.sum("w").alias("all"), F.collect_list(F.struct("chain", "w")).alias("ws"))
-    share = F.transform(F.filter("ws", lambda x: x.chain >= 0), lambda x: F.struct(x.chain.alias("chain"), ((x.w + WEIGHT * PRIOR) / (F.col("all") + WEIGHT)).alias("share")))
-    return listed.select("source", share.alias("shares"))
+    own = F.map_from_entries(F.transform(F.filter("ws", lambda x: x.chain >= 0), lambda x: F.struct(x.chain, (x.w + WEIGHT * PRIOR) / (F.col("all") + WEIGHT))))
+    listed = listed.select("source", own.alias("own"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(LOST)), lambda k: F.coalesce(F.try_element_at("own", k), F.lit(PRIOR)))
+    clean = F.greatest(F.lit(1e-9), 1 - F.aggregate(F.map_values("own"), F.lit(0.0), lambda s, x: s + x))
+    return listed.select("source", F.concat(each, F.array(clean)).alias("shares"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, Model]:
@@ -320,6 +325,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     known = each.select("token").distinct().repartition(tasks).mapInArrow(read, "token string, chains array<int>, meant array<string>")
     counted = each.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
     tokens = cut(counted.join(known, "token").select("source", "token", "n", "chains", "meant").repartition(tasks))
+    # each task carries the model and gives its sums back: no more tasks than there is work for
+    tasks = max(cores(docs.sparkSession), min(tasks, tokens.count() // TASK))
+    tokens = tokens.coalesce(tasks)
     model, shares = _counts(_step(_with_shares(tokens, None), None).where("kind < 2")), None
     tokens = cut(_plausible(tokens, model))
     # a token without a reading counts as it stands in every round: these are counted once
@@ -337,14 +345,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sources, tokens, chains, meant, usual = (c.to_pylist() for c in batch.columns)
+            sources, tokens, chains, meant = (batch.column(k).to_pylist() for k in range(4))
             r = Readings(tokens, chains, meant)
             logs = r.logs(last)
             gain = np.minimum(logs - logs[r.first][r.owner], 60.0)
             at = np.flatnonzero((r.chain != CLEAN) & (gain > -5))
-            prior = [min(max(_prior(usual[r.owner[i]]).get(int(r.chain[i]), PRIOR), 1e-6), 0.99) for i in at]
+            prior = np.clip(r.prior(_matrix(batch.column(4)))[at], 1e-6, 0.99)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sources[r.owner[i]] for i in at], pa.string()), pa.array([tokens[r.owner[i]] for i in at], pa.string()), pa.array(r.chain[at]).cast(pa.int32()), pa.array(np.log(1 - REACHED + REACHED * np.exp(gain[at]))), pa.array([math.log(p / (1 - p)) for p in prior], pa.float64())],
+                [pa.array([sources[r.owner[i]] for i in at], pa.string()), pa.array([tokens[r.owner[i]] for i in at], pa.string()), pa.array(r.chain[at]).cast(pa.int32()), pa.array(np.log(1 - REACHED + REACHED * np.exp(gain[at]))), pa.array(np.log(prior / (1 - prior)), pa.float64())],
                 names=["source", "token", "chain", "gain", "odds"],
             )
 
