@@ -28,7 +28,7 @@ PIVOTS, SAMPLE = 24, 2000
 #: Strings and forms of a ring that are compared in one part, at most on average.
 MANY_NAMES, MANY_FORMS = 8192, 4096
 #: Cells of a distance table that are computed at once, and pairs measured at once.
-TABLE, PAIRS = 1 << 21, 1 << 16
+TABLE, PAIRS = 1 << 19, 1 << 15
 
 
 def coded(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,19 +60,63 @@ def levenshtein(codes: np.ndarray, sizes: np.ndarray, form: str) -> np.ndarray:
     return row[np.arange(len(codes)), sizes]
 
 
+def _by_bits(letter: np.ndarray, known: np.ndarray, longer: np.ndarray, form: str) -> np.ndarray:
+    """Edit distances of strings to a form of up to 63 letters, a column of the distance table in the bits of a word (the method of
+    Myers). letter has a row for each place of the strings, as numbers of `known` code points; longer tells how many strings,
+    which are in order, go on beyond each place."""
+    one, last = np.uint64(1), np.uint64(len(form) - 1)
+    at: dict[int, int] = {}
+    for i, c in enumerate(map(ord, form)):
+        at[c] = at.get(c, 0) | 1 << i
+    bits = np.array([at.get(c, 0) for c in known.tolist()], np.uint64)
+    n = letter.shape[1]
+    up, down, out = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64), np.full(n, len(form), np.int32)
+    for i, many in enumerate(longer):
+        equal, u, d = bits[letter[i, :many]], up[:many], down[:many]
+        across = (((equal & u) + u) ^ u) | equal
+        plus, minus = d | ~(across | u), u & across
+        out[:many] += ((plus >> last) & one).astype(np.int32)
+        out[:many] -= ((minus >> last) & one).astype(np.int32)
+        plus, minus = (plus << one) | one, minus << one
+        either = equal | d
+        up[:many] = minus | ~(either | plus)
+        down[:many] = plus & either
+    return out
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance of two strings, by bits of one number."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, out = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = full, 0
+    for c in b:
+        equal = at.get(c, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        plus, minus = (down | ~(across | up)) & full, up & across
+        out += (plus >> last & 1) - (minus >> last & 1)
+        plus, minus, either = (plus << 1 | 1) & full, minus << 1 & full, equal | down
+        up, down = (minus | ~(either | plus)) & full, plus & either
+    return out
+
+
 def distances(strings: list[str], forms: list[str]) -> np.ndarray:
     """Edit distances, strings x forms; strings of like lengths at once, so that padding stays small."""
     size = np.fromiter(map(len, strings), np.int64, count=len(strings))
     out = np.zeros((len(strings), len(forms)), np.int32)
-    order, at = np.argsort(size, kind="stable"), 0
+    order, at = np.argsort(-size, kind="stable"), 0
     while at < len(order):
-        width = int(size[order[at]]) * 5 // 4 + 2
-        end = min(int(np.searchsorted(size[order], width, "right")), at + max(1, TABLE // (width + 1)))
-        rows = order[at:end]
+        rows = order[at : at + max(1, TABLE // (int(size[order[at]]) + 1))]
         codes, sizes = coded([strings[i] for i in rows])
+        known, letter = np.unique(codes.T, return_inverse=True)
+        letter = letter.reshape(codes.T.shape)
+        longer = [int(np.searchsorted(-sizes, -i)) for i in range(codes.shape[1])]
         for k, f in enumerate(forms):
-            out[rows, k] = levenshtein(codes, sizes, f)
-        at = end
+            out[rows, k] = _by_bits(letter, known, longer, f) if 0 < len(f) < 64 else levenshtein(codes, sizes, f)
+        at += len(rows)
     return out
 
 

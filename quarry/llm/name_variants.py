@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.base import cores, cut, sent_if_small, spread
-from quarry.llm.metric_names import pair_distances, radius_join
+from quarry.llm.metric_names import distance, radius_join
 
 #: Words of legal forms (fixed values).
 LEGAL = {"inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "group", "gp", "grp", "holdings", "hldg", "hldgs", "ag", "sa", "nv", "and", "the"}
@@ -120,7 +120,7 @@ def likeness(said: str, word: str) -> float:
     if said in PLAIN or said in LEGAL or said.isdigit():
         return 0.0
     if len(word) >= 4 and abs(len(said) - len(word)) <= 2:
-        d = int(pair_distances([said], [word])[0])
+        d = distance(said, word)
         if d <= (2 if len(word) >= 7 or sorted(said) == sorted(word) else 1):
             return 0.95 - 0.1 * d
     if not 2 <= len(said) < len(word):

@@ -198,6 +198,16 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def test_distances_equal_the_plain_table():
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcdé日") for _ in range(rng.randrange(0, most)))
+    strings, forms = [word(20) for _ in range(60)] + [word(150), ""], [word(12) or "x" for _ in range(8)] + ["a" * 63, "ab" * 40, "x"]
+    got = metric_names.distances(strings, forms)
+    assert got.tolist() == [[plain_distance(s, f) for f in forms] for s in strings]
+    pairs = [(rng.choice(strings), rng.choice(forms)) for _ in range(50)]
+    assert metric_names.pair_distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain_distance(a, b) for a, b in pairs] == [metric_names.distance(a, b) for a, b in pairs]
+
+
 def test_radius_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(metric_names, "MANY_NAMES", 20)
     monkeypatch.setattr(metric_names, "MANY_FORMS", 5)
