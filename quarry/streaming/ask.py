@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,12 @@ def events(engine: Engine, question: str, generate: Callable[[str], Iterator[str
     if not an.valid_requests(asked).first()["valid"]:
         yield "error", {"status": 422, "detail": "question must have 1 to 2000 characters and k 1 to 50"}
         return
-    stages: list[tuple[str, dict]] = []
+    started = time.perf_counter()
     try:
-        results = engine.retrieve(asked, k, lambda name, info: stages.append((name, info)))
-        for name, info in stages:
-            yield "stage", {"stage": name, **info}
+        results = None
+        for name, info, results in engine.stages(asked, k, live=True):  # each event goes out before its stage runs
+            if results is None:
+                yield "stage", {"stage": name, **info}
         rows = results.orderBy("rank").collect()
         if not rows:
             yield "error", {"status": 404, "detail": "no candidates retrieved"}
@@ -59,13 +61,15 @@ def events(engine: Engine, question: str, generate: Callable[[str], Iterator[str
         yield "sources", {"citations": cited}
         yield "stage", {"stage": "generate"}
         evidence = "\n\n".join(f"[{r['filing_stem']} chunk {r['chunk_index']}] {r['text']}" for r in rows)
-        pieces = []
+        pieces, spent, began = [], dict(engine.timings), time.perf_counter()
         for piece in generate(an.PROMPT.format(question=question, evidence=evidence)):
             pieces.append(piece)
+            spent.setdefault("generation_first_text_s", time.perf_counter() - began)
             yield "text", {"text": piece}
+        spent["generation_s"] = time.perf_counter() - began
         text = "".join(pieces)
         parsed = spark.createDataFrame([(text,)], "answer string").select(tx.parse_answer(F.col("answer")).alias("p")).first()["p"]
-        yield "answer", {"question": question, "answer": text, "value": parsed["value"], "value_status": parsed["status"], "citations": cited, "stage_latency": engine.timings}
+        yield "answer", {"question": question, "answer": text, "value": parsed["value"], "value_status": parsed["status"], "citations": cited, "latency_s": time.perf_counter() - started, "stage_latency": spent}
     except Exception as e:
         busy = getattr(e, "code", None) == 429
         yield "error", {"status": 429 if busy else 500, "detail": "the model is busy" if busy else type(e).__name__}

@@ -169,6 +169,23 @@ def test_events_in_order(engine):
     assert all(f.endswith("\n\n") and f.startswith("event: ") for f in frames) and json.loads(frames[-1].split("data: ")[1])["value"] == 13880
 
 
+def test_stage_events_go_out_before_their_stage_runs(engine, monkeypatch):
+    """A stage that cannot run is announced, and the error comes after it; the answer tells the seconds of each stage."""
+    stream = ask.events(engine, "What was Visa's net revenue in 2015?", lambda prompt: iter(PIECES))
+    first = next(stream)
+    assert first == ("stage", {"stage": "resolve"}) and "resolve_s" not in engine.timings
+    second = next(stream)
+    assert second == ("stage", {"stage": "embed", "tickers": ["V"]}) and engine.timings["resolve_s"] > 0 and "embed_s" not in engine.timings
+    rest = list(stream)
+    answer = rest[-1][1]
+    assert {"resolve_s", "embed_s", "search_s", "rerank_s", "total_s", "generation_first_text_s", "generation_s"} <= set(answer["stage_latency"])
+    assert answer["latency_s"] >= answer["stage_latency"]["total_s"] and [e for e, b in rest if b.get("stage") == "rerank" and b["candidates"] > 0]
+    assert engine.diagnosis["fallback_reason"] is None
+    broken = Engine(engine.chunks, engine.index, engine.lexicon, lambda q: 1 / 0)
+    got = list(ask.events(broken, "What was Visa's net revenue in 2015?", lambda prompt: iter(PIECES)))
+    assert [b.get("stage") for e, b in got if e == "stage"] == ["resolve", "embed"] and got[-1] == ("error", {"status": 500, "detail": "ZeroDivisionError"})
+
+
 def test_error_events(engine):
     class Busy(Exception):
         code = 429
