@@ -51,13 +51,28 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Report of stored rankings of a split against gold labels (split, id, gold)."""
+    """Report of a split's rankings against gold labels (split, id, gold): of stored ones (--scores, --cell), or with --live of what is
+    retrieved now (--chunks, --terms, --lexicon, --questions, --vectors, --words)."""
     from quarry.plans import evaluate as e
     from quarry.sources import files
 
     labels = e.split_of(spark.read.parquet(f"{a.gold}/labels"), a.split, a.limit)
-    key = F.transform("gold", lambda i: F.concat_ws("#", "row_key", i.cast("string")))
-    ranked = files.ranking(files.score_lines(spark, a.scores), a.cell).withColumnRenamed("id", "query_id")
+    if a.live:
+        from quarry.model import served
+        from quarry.operators import resolve
+        from quarry.operators.retrieval import Bm25Index
+        from quarry.plans.retrieve import Engine
+
+        vectors = spark.read.parquet(a.vectors).select(F.col("id").alias("query_id"), "vector")
+        engine = Engine(served(spark.read.parquet(a.chunks)), Bm25Index.read(spark, a.terms), resolve.load(*files.lexicon(spark, a.lexicon), files.word_list(spark, [a.words])), lambda q: q.join(vectors, "query_id"))
+        asked = spark.read.schema(files.QUESTIONS).json(a.questions).join(labels.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "question").dropDuplicates(["query_id"])
+        ranked = engine.retrieve(asked, 50)
+        stems = spark.read.schema(files.QUESTIONS).json(a.questions).select("id", files.filing_stem(F.col("company_symbol"), F.col("report_year"), F.col("company_cik")).alias("stem")).dropDuplicates(["id"])
+        labels = labels.join(stems, "id")
+    else:
+        ranked = files.ranking(files.score_lines(spark, a.scores), a.cell).withColumnRenamed("id", "query_id")
+        labels = labels.withColumn("stem", F.col("row_key"))
+    key = F.transform("gold", lambda i: F.concat_ws("#", "stem", i.cast("string")))
     report = e.replay(ranked, labels.select(F.col("id").alias("query_id"), key.alias("relevant")))
     if a.out:
         from quarry.sources import sinks
@@ -67,15 +82,27 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def labels(spark: SparkSession, a: argparse.Namespace) -> int:
-    """build writes labels, unless they moved; check lists what moved."""
+    """build makes labels from --questions, --evidence, --tables, --summaries and --chunks (or takes them ready from --new) and writes
+    them, unless they moved; check lists what moved."""
     from quarry.operators.gold import label_diff
     from quarry.sources import sinks
 
-    new = spark.read.parquet(a.new)
+    if a.new:
+        new, marks = spark.read.parquet(a.new), {"code": a.fingerprint}
+    else:
+        from quarry.model import served
+        from quarry.operators.corpus import matched_questions
+        from quarry.plans import labels as made
+        from quarry.sources import files
+
+        asked = spark.read.schema(files.QUESTIONS).json(a.questions)
+        chunks = served(spark.read.parquet(a.chunks))
+        parts = {"questions": matched_questions(asked, chunks.select("filing_stem")), "evidence": files.evidence(spark, a.evidence), "tables": files.gold_tables(spark, a.tables), "summaries": files.summaries(spark, a.summaries), "chunks": chunks.select("filing_stem", "chunk_index", "text")}
+        new, marks = made.build(*parts.values()), made.fingerprint(parts)
     if a.action == "build":
-        sinks.write_labels(new, a.path, {"code": a.fingerprint}, a.allow_moved)
+        sinks.write_labels(new, a.path, marks, a.allow_moved)
         return 0
-    moved = label_diff(sinks.read_labels(spark, a.path, {"code": a.fingerprint}), new).orderBy("split", "id")
+    moved = label_diff(sinks.read_labels(spark, a.path, marks), new).orderBy("split", "id")
     n = moved.count()
     for r in moved.limit(50).collect():
         print(r.split, r.id, r.change)
@@ -94,15 +121,18 @@ def main(argv: list[str]) -> int:
     for name in ("--chunks", "--table", "--terms"):
         i.add_argument(name, required=True)
     e = sub.add_parser("evaluate", help=evaluate.__doc__)
-    for name in ("--scores", "--cell", "--gold"):
-        e.add_argument(name, required=True)
+    e.add_argument("--gold", required=True)
+    e.add_argument("--live", action="store_true")
+    for name in ("--scores", "--cell", "--chunks", "--terms", "--lexicon", "--questions", "--vectors", "--words"):
+        e.add_argument(name, default="")
     e.add_argument("--split", default="dev", choices=["dev", "test"])
     e.add_argument("--limit", type=int)
     e.add_argument("--out")
     g = sub.add_parser("labels", help=labels.__doc__)
     g.add_argument("action", choices=["build", "check"])
-    for name in ("--new", "--path", "--fingerprint"):
-        g.add_argument(name, required=True)
+    g.add_argument("--path", required=True)
+    for name in ("--new", "--fingerprint", "--questions", "--evidence", "--tables", "--summaries", "--chunks"):
+        g.add_argument(name, default="")
     g.add_argument("--allow-moved", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"quarry {a.command}").getOrCreate()

@@ -177,6 +177,18 @@ def mentions_value(text: Column, value: Column) -> Column:
     return F.array_contains(words(text), plain)
 
 
+def without_answer_line(answer: Column) -> Column:
+    """The explanation alone: the answer without its answer lines."""
+    return F.regexp_replace(F.regexp_replace(answer, r"(?im)^\W*ANSWER\s*:.*$\n?", ""), r"^\s+|\s+$", "")
+
+
+def highlighted(text: Column, value: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The text with each place marked where the number stands, with or without thousands separators. Null without a number."""
+    digits = F.regexp_replace(F.format_number(F.abs(value), 4), r"\.?0+$", "")
+    pattern = F.concat(F.lit(r"(?<![\d.,])"), F.regexp_replace(F.replace(digits, F.lit("."), F.lit("\\.")), ",", ",?"), F.lit(r"(?![\d]|[.,]\d)"))
+    return F.regexp_replace(text, pattern, F.lit(f"{before}$0{after}"))
+
+
 def label_row_key(*fields: Column) -> Column:
     """First 12 hexadecimal digits of the hash of the fields that a label reads."""
     return F.left(F.sha2(F.to_json(F.array(*(f.cast("string") for f in fields))), 256), F.lit(12))

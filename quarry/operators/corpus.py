@@ -34,6 +34,25 @@ def preflight(chunks: DataFrame, expected: dict[str, int]) -> DataFrame:
     return both.select("variant", "n_rows", "n_embedded", delta.alias("delta"), ((delta == 0) & (F.col("n_rows") == F.col("n_embedded"))).alias("ok"))
 
 
+def checksum(chunks: DataFrame) -> str:
+    """A checksum of all rows in any order."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(chunks.columns))))
+    n, total, mixed = chunks.select(F.xxhash64(row).alias("h"), F.xxhash64(F.lit(1), row).alias("g")).agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("g")).first()
+    return f"{n}-{total}-{mixed}"
+
+
+def restore_problems(chunks: DataFrame, expected: dict[str, int], wanted: str | None = None) -> list[str]:
+    """What speaks against serving a restored chunk table: another checksum, variants that are not expected, counts or embeddings
+    that differ."""
+    out = ["the checksum differs"] if wanted is not None and checksum(chunks) != wanted else []
+    for r in preflight(chunks, expected).orderBy("variant").collect():  # a row for each variant
+        if r["variant"] not in expected:
+            out.append(f"{r['n_rows']} rows of variant {r['variant']!r}")
+        elif not r["ok"]:
+            out.append(f"variant {r['variant']!r}: {r['n_rows']} rows, {r['n_embedded']} embedded, {expected[r['variant']]} expected")
+    return out
+
+
 def ready(chunks: DataFrame, expected: dict[str, int]) -> bool:
     return preflight(chunks, expected).where(~F.col("ok")).isEmpty()
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
-from quarry.model import BLOCKS, CHUNK_FILE, EVIDENCE, INGEST_LOG, QUESTIONS, SCORES, SUBMISSION_PAGE, SUBMISSIONS
+from quarry.model import BLOCKS, CHUNK_FILE, EVIDENCE, INGEST_LOG, QUESTIONS, SCORES, SUBMISSION_PAGE, SUBMISSIONS, filing_stem  # noqa: F401
 
+WORDS_VARIABLE = "QUARRY_WORDS"
 SUBSETS = ("ConvFinQA", "FinQA", "TAT-DQA")
 
 
@@ -94,10 +97,12 @@ def lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def word_list(spark: SparkSession, candidates: list[str]) -> DataFrame:
-    """(word) of the first list that exists; none gives an empty table, which switches the guard on English words off."""
-    for path in candidates:
+    """(word) of the first list that exists, that of WORDS_VARIABLE in the environment before all; none gives an empty table, with a
+    warning, since it switches the guard on English words off."""
+    for path in [os.environ.get(WORDS_VARIABLE), *candidates]:
         if path and exists(spark, path):
             return spark.read.text(path).select(F.lower(F.trim("value")).alias("word"))
+    warnings.warn("no list of English words: names that are words are not guarded", stacklevel=2)
     return spark.createDataFrame([], "word string")
 
 

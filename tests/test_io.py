@@ -284,3 +284,41 @@ def test_core_does_not_need_the_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any(n.startswith("quarry.llm") for n in names), path
+
+
+def test_labels_in_one_call(spark, tmp_path):
+    from quarry.plans import labels
+
+    questions = spark.createDataFrame([("a", "dev ", "V_2015_1", "c1", "page words of the filing that nobody needs here at all"), ("b", "test", "V_2015_1", "c2", None), ("c", "dev", None, "c3", "x")], "id string, split string, filing_stem string, context_id string, context string")
+    chunks = spark.createDataFrame([("V_2015_1", 0, "intro"), ("V_2015_1", 1, "net sales | 1,234 | 5,678"), ("V_2015_1", 2, "we sold many more cars than in any year before this one")], "filing_stem string, chunk_index int, text string")
+    evidence = spark.createDataFrame([("a", [["net sales", "1234", "5678"]], ["we sold many more cars than in any year"]), ("b", None, None)], "question_id string, table_rows array<array<string>>, sentences array<string>")
+    tables, summaries = spark.createDataFrame([("b", 3)], "question_id string, table_index int"), spark.createDataFrame([("V_2015_1", 3, "intro")], "filing_stem string, table_index int, summary string")
+    made = labels.build(questions, evidence, tables, summaries, chunks)
+    assert {(r.split, r.id, tuple(r.gold)) for r in made.collect()} == {("dev", "a", (1, 2)), ("test", "b", (0,)), ("dev", "c", ())}
+    parts = {"questions": questions, "chunks": chunks}
+    marks = labels.fingerprint(parts)
+    assert labels.fingerprint({"questions": questions.orderBy(F.desc("id")), "chunks": chunks}) == marks
+    assert labels.fingerprint(parts | {"chunks": chunks.limit(2)})["chunks"] != marks["chunks"] and set(marks) == {"code", "questions", "chunks"}
+    sinks.write_labels(made, str(tmp_path / "g"), marks)
+    assert labels.cached(spark, str(tmp_path / "g"), marks, questions).count() == 3
+    with pytest.raises(labels.RowsChanged):
+        labels.cached(spark, str(tmp_path / "g"), marks, questions.withColumn("context", F.lit("other")))
+
+
+def test_restore_checks_and_display(spark, monkeypatch, tmp_path):
+    from quarry.functions import text as tx
+    from quarry.operators import corpus
+
+    chunks = spark.createDataFrame([("A", 1, [1.0]), ("A", 2, [1.0])], "variant string, chunk_index int, embedding array<float>")
+    assert corpus.restore_problems(chunks, {"A": 2}, corpus.checksum(chunks.orderBy(F.desc("chunk_index")))) == []
+    bad = chunks.union(spark.createDataFrame([("B", 1, None)], chunks.schema))
+    assert corpus.restore_problems(bad, {"A": 3}, corpus.checksum(chunks)) == ["the checksum differs", "variant 'A': 2 rows, 2 embedded, 3 expected", "1 rows of variant 'B'"]
+    df = spark.createDataFrame([("Sales were 13,880 or 13880, not 113,880.\nANSWER: 13880", 13880.0), ("x 5.25%", 5.25), (None, None)], "t string, v double")
+    got = df.select(tx.without_answer_line(F.col("t")), tx.highlighted(F.col("t"), F.col("v"))).collect()
+    assert got[0][0] == "Sales were 13,880 or 13880, not 113,880." and got[0][1].startswith("Sales were <mark>13,880</mark> or <mark>13880</mark>, not 113,880.")
+    assert got[1][1] == "x <mark>5.25</mark>%" and got[2][1] is None
+    with pytest.warns(UserWarning):
+        assert files.word_list(spark, [str(tmp_path / "none")]).count() == 0
+    (tmp_path / "w").write_text("Visa\n")
+    monkeypatch.setenv(files.WORDS_VARIABLE, str(tmp_path / "w"))
+    assert [r.word for r in files.word_list(spark, []).collect()] == ["visa"]
