@@ -66,13 +66,16 @@ def _hashed(texts: list[str], hasher: WordHasher) -> list[np.ndarray]:
     return np.split(flat, np.cumsum([len(x) for x in lists])[:-1]) if lists else []
 
 
-def passages(texts: list[str]) -> list[np.ndarray]:
-    """Sizes of the passages of each text, in words, in order: sentences, long ones cut."""
-    out = []
+def passages(texts: list[str], hasher: WordHasher) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Word hashes of each text, and the sizes of its passages in words, in order: sentences, long ones cut. No word lies
+    across the end of a sentence, so the words are those of the whole text."""
+    words, sizes = [], []
     for t in texts:
-        sizes = [len(WORD_RE.findall(x)) for x in _SENTENCE.split(t.lower())]
-        out.append(np.array([min(LONGEST, n - k) for n in sizes for k in range(0, n, LONGEST)], np.int32))
-    return out
+        parts = [WORD_RE.findall(x) for x in _SENTENCE.split(t.lower())]
+        words.append([w for x in parts for w in x])
+        sizes.append(np.array([min(LONGEST, len(x) - k) for x in parts for k in range(0, len(x), LONGEST)], np.int32))
+    flat = (hasher([w for x in words for w in x]) >> np.uint64(32)).astype(np.uint32)
+    return np.split(flat, np.cumsum([len(x) for x in words])[:-1]) if words else [], sizes
 
 
 def tokenised(docs: DataFrame, sentences: bool = False) -> DataFrame:
@@ -82,8 +85,8 @@ def tokenised(docs: DataFrame, sentences: bool = False) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = passages(texts) if sentences else [np.zeros(0, np.int32)] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in _hashed(texts, hasher)], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["doc_id", "words", "sizes"])
+            words, sizes = passages(texts, hasher) if sentences else (_hashed(texts, hasher), [np.zeros(0, np.int32)] * len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["doc_id", "words", "sizes"])
 
     some = docs.select("doc_id", "text").where(F.lower("text").rlike("[a-z0-9]"))
     return cut(spread(some).mapInArrow(run, "doc_id long, words binary, sizes binary"))
@@ -337,8 +340,7 @@ def paraphrases(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     directions = latent_space(words)
     found = None
     for texts, ids in _held_out(held_out, SHORTEST):
-        flat = _hashed(texts, hasher)
-        sizes = passages(texts)
+        flat, sizes = passages(texts, hasher)
         items = Passages(np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64), np.repeat(np.arange(len(sizes)), [len(x) for x in sizes]), directions)
         answers = answer_words(items, len(texts), set(_hashed([" ".join(w for t in texts for w in WORD_RE.findall(t.lower()) if not w.isalpha())], hasher)[0].tolist()))
         sent = docs.sparkSession.sparkContext.broadcast((items, answers, directions, ids))
