@@ -298,12 +298,12 @@ class Passages:
         end = np.cumsum(sizes)
         long = sizes >= SHORTEST
         self.words, self.end, self.begin, self.owner = words, end[long], (end - sizes)[long], owner[long]
-        many = self.end - self.begin
-        at = np.repeat(self.begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        feature = _feature(words[at])
-        starts = np.cumsum(many) - many
-        x = np.add.reduceat(directions[feature], starts, axis=0) if len(many) else np.zeros((0, directions.shape[1]), np.float32)
-        self.vectors = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        self.vectors = np.zeros((len(self.begin), directions.shape[1]), np.float32)
+        for low in range(0, len(self.begin), BATCH // 4):  # so that the word vectors of a batch are never held at once
+            begin, many = self.begin[low : low + BATCH // 4], (self.end - self.begin)[low : low + BATCH // 4]
+            starts = np.cumsum(many) - many
+            x = np.add.reduceat(directions[_feature(words[np.repeat(begin - starts, many) + np.arange(many.sum())])], starts, axis=0)
+            self.vectors[low : low + BATCH // 4] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def __getitem__(self, k: int) -> list[int]:
         return self.words[self.begin[k] : self.end[k]].tolist()
