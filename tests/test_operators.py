@@ -80,6 +80,36 @@ def test_index_survives_writing_and_shuffled_search(spark, tmp_path, monkeypatch
     assert {r.chunk_index: r.score for r in wanted} == {i: score(texts[i]) for i in (0, 1, 4)}
 
 
+def test_term_search_shuffles_the_best_of_each_task_only(spark, monkeypatch):
+    """Pairs of question and chunk that share a term do not leave the task that scores them; ranks equal a plain reading, over blocks,
+    ties, filters and many more chunks than are kept."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SCORED_AT_ONCE", 1 << 11)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"T{i % 5}_{2000 + i % 3}_{i % 2}", i, f"T{i % 5}", " ".join(["the", *rng.choices(words, range(1, 41), k=rng.randrange(1, 9))])) for i in range(1500)]
+    questions = [(i, " ".join(["the", *rng.sample(words, 3)]), [[], None, ["T1"], ["T2", "T4"]][i % 4]) for i in range(30)] + [(50, "the", [])]
+    index = retrieval.Bm25Index.build(spark.createDataFrame(rows, "filing_stem string, chunk_index int, ticker string, text string"))
+    found = index.search(spark.createDataFrame(questions, "query_id long, question string, tickers array<string>"), 12)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.filing_stem, r.chunk_index, r.score))
+    texts = {(s, i, t): x.split() for s, i, t, x in rows}
+    n, mean = len(rows), sum(map(len, texts.values())) / len(rows)
+    df = {w: sum(w in x for x in texts.values()) for w in ["the", *words]}
+    for q, question, tickers in questions:
+        want = []
+        for (stem, i, ticker), x in texts.items():
+            if (not tickers or ticker in tickers) and any(w in x for w in question.split()):
+                parts = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in question.split() if w in x]
+                want.append((-round(sum(parts), 9), stem, i))
+        want = [(stem, i, -s) for s, stem, i in sorted(want)[:12]]
+        assert [x[:2] for x in got[q]] == [x[:2] for x in want], q
+        assert [x[2] for x in got[q]] == pytest.approx([x[2] for x in want], abs=1.1e-9)
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in shuffled and "Join" not in shuffled
+
+
 def test_vector_index_recalls_the_exact_search(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16))
