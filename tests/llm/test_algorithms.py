@@ -86,6 +86,27 @@ def test_pack_rows(spark):
 # ---- near duplicates
 
 
+def test_near_duplicates_in_passes_of_bands(spark, monkeypatch):
+    """Beyond KEYS_AT_ONCE keys no pass holds more than its share of the bands; the links are the same."""
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(50)] for _ in range(5)]
+    docs = []
+    for i in range(60):
+        w = list(base[i % 5])
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "id long, text string")
+    pairs = lambda: {tuple(r) for r in near_dupes.row_pairs(*near_dupes.near_duplicates(df, 0.7, 3, 25)).collect()}
+    whole, taken = pairs(), []
+    plain = near_dupes._candidates
+    monkeypatch.setattr(near_dupes, "_candidates", lambda reps, first, bands, least: taken.append((first, bands)) or plain(reps, first, bands, least))
+    monkeypatch.setattr(near_dupes, "KEYS_AT_ONCE", 600)
+    assert pairs() == whole and len(whole) > 50
+    assert [x for first, bands in taken for x in range(first, first + bands)] == list(range(near_dupes.BANDS))
+    assert len(taken) == 3 and all(len(docs) * bands <= 600 for _, bands in taken)
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dupes, "HOT", 8)
     rng = random.Random(2)
