@@ -50,3 +50,18 @@ def test_rows_of_nulls(spark, null_dir, name):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     compare(catalog.queries()[name], catalog.oracle_sql()[name], spark, DATA)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_year_text_list_runs_its_searches_once(spark, tmp_path, monkeypatch):
+    plain, runs = catalog._two_lists, str(tmp_path / "runs")
+
+    def told(batches):
+        with open(runs, "a") as f:
+            f.write("x\n")
+        yield from batches
+
+    monkeypatch.setattr(catalog, "_two_lists", lambda asked, chunks: [x.coalesce(1).mapInArrow(told, x.schema) for x in plain(asked, chunks)])
+    catalog.queries()["year_text_list"](spark, DATA).collect()
+    with open(runs) as f:
+        assert len(f.readlines()) == 2
