@@ -52,6 +52,27 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert {(r.query_id, r.chunk_index) for r in retrieval.dense(q, chunks, 1, 2).collect()} == {(i, i) for i in range(5)}
 
 
+def test_dense_searches_many_splits_in_as_many_tasks_as_cores(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORED_AT_ONCE", 1)  # slices of 256 rows
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.integers(-3, 4, (3000, 4)).astype(float), rng.integers(1, 4, (6, 4)).astype(float)  # many equal cosines
+    rows = [(f"{'AB'[i % 2]}_{2010 + i % 5}_1", i, "AB"[i % 2], v.tolist()) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "filing_stem string, chunk_index int, ticker string, embedding array<float>").repartition(24)
+    tickers = [["B"] if i % 3 == 0 else None for i in range(6)]
+    q = spark.createDataFrame([(i, v.tolist(), tickers[i]) for i, v in enumerate(asked)], "query_id long, vector array<float>, tickers array<string>")
+    got: dict = {}
+    for r in retrieval.dense(q, chunks, 40, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.filing_stem, r.chunk_index))
+    unit = lambda x: x / np.linalg.norm(x)
+    for i, v in enumerate(asked):
+        plain = sorted((-round(float(unit(e) @ unit(v)), 6), stem, n) for (stem, n, t, _), e in zip(rows, vectors) if e.any() and (not tickers[i] or t in tickers[i]))
+        assert got[i] == plain[:40]
+    block = [(i, v.tolist(), None) for i, v in enumerate(asked)]
+    found = retrieval._dense_block(chunks.select("filing_stem", "chunk_index", "ticker", "embedding").where("exists(embedding, x -> x <> 0)"), block, 40, 4)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.count() <= 40 * 6 * spark.sparkContext.defaultParallelism  # what is shuffled
+
+
 def test_index_survives_writing_and_shuffled_search(spark, tmp_path, monkeypatch):
     texts = ["alpha beta beta", "beta gamma", None, "", "delta alpha ALPHA alpha"]
     chunks = spark.createDataFrame([("A_2010_1", i, "A", t) for i, t in enumerate(texts)], "filing_stem string, chunk_index int, ticker string, text string")
